@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, packing, quality, toxicity
 from .common import table
 
 #: Fixed by the contract of operators 9 and 10: the vocabularies and the split pattern.
 PACKING_VOCABULARY, CODEC_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", held_out=(5, 0), threshold=0.3)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", held_out=(4, 2), threshold=0.3)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,6 +36,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op9_best_fit_packing, op10_byte_bpe)
+    for f in (op1_quality_classifier, op3_toxicity, op9_best_fit_packing, op10_byte_bpe)
 }
 ORACLE_SQL: dict[str, str] = {}
