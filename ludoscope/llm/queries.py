@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, toxicity
+from . import bpe, embeddings, lines, packing, quality, simhash, substrings, topk, toxicity, warc
 from .common import table
 
 #: Fixed by the contract of operators 9 and 10: the vocabularies and the split pattern.
@@ -18,10 +19,39 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", held_out=(5, 0), threshold=0.3)
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.archive_and_read(table(spark, sf_dir, "pages"), least=1000)
+    # a fault in an archive just written ends the query
+    sound = got.withColumn("record_type", F.when(F.col("fault").isNull(), F.col("record_type")).otherwise(F.raise_error(F.col("fault"))))
+    return sound.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", held_out=(4, 2), threshold=0.3)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lines.dedup(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats_digest(table(spark, sf_dir, "documents"), length=20)
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, shingle=3, bits=64, seed=42)
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.scaled(table(spark, sf_dir, "embeddings"), scale=64)
+    return topk.top_k(vectors, vectors.where("id % 20 = 0"), k=20)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,6 +66,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op3_toxicity, op9_best_fit_packing, op10_byte_bpe)
+    for f in (op1_quality_classifier, op2_warc_round_trip, op3_toxicity, op4_line_dedup, op5_substring_dedup, op6_simhash_near_dedup, op7_embedding_near_dedup, op8_exact_top_k, op9_best_fit_packing, op10_byte_bpe)
 }
 ORACLE_SQL: dict[str, str] = {}
