@@ -84,11 +84,11 @@ def _plan(text: str, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, half, anchors(half, length - length // 2 + 1)
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, the id as ordered here (null last), the text (null: empty) and its hash, which
-    tells rows of one id apart."""
+def _rows(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id``, the id as ordered here (null last), the text (null: empty), the columns ``keep``
+    as k0, k1, ..., and the text's hash, which tells rows of one id apart."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"), text.alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
     return rows.withColumn("t", F.xxhash64("text"))
 
 
@@ -175,8 +175,8 @@ def levels(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col:
         length *= 2
 
 
-def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, column: str) -> DataFrame:
-    rows = _rows(docs, id_col, text_col)
+def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    rows = _rows(docs, id_col, text_col, keep)
     whole = written(copies(rows), "copies")
     windows = repeated_windows(rows, length, whole)
     # whole copies aren't among the windows: what they repeat, their first has, whose id is smaller
@@ -186,7 +186,7 @@ def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, column: s
     covered = later.union(own).groupBy("doc", "t").agg(F.collect_set("start").alias("starts"))
     covered = covered.union(whole.select("doc", "t", F.array(F.lit(-1)).alias("starts")))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -202,25 +202,27 @@ def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, column: s
                             over = removed(len(words), s, length)
                             words = [w for w, x in zip(words, over.tolist(), strict=True) if not x]
                     gone.append(n[-1] - len(words))
-                    kept = b" ".join(words)
-                    out.append(hashlib.sha256(kept).hexdigest() if column == "kept_sha256" else kept.decode())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())], [id_col, "n_words", "n_removed", column])
+                    if column == "kept_sha256":
+                        out.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                    else:
+                        out.append(b" ".join(words).decode() if gone[-1] else text.as_py())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string()), *(part.column(f"k{i}") for i in range(len(keep)))], [id_col, "n_words", "n_removed", column, *keep])
 
-    schema = f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_words long, n_removed long, {column} string"
-    return rows.join(covered, ["doc", "t"], "left").select("id", "text", "starts").mapInArrow(keep, schema)
+    schema = f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_words long, n_removed long, {column} string" + "".join(f", `{c}` {rows.schema[f'k{i}'].dataType.simpleString()}" for i, c in enumerate(keep))
+    return rows.join(covered, ["doc", "t"], "left").select("id", "text", "starts", *(f"k{i}" for i in range(len(keep)))).mapInArrow(stay, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_words long, n_removed long, kept string`` for each row of ``docs``: each
+def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col, n_words long, n_removed long, kept string, <keep>`` for each row of ``docs``: each
     word goes that a window of ``length`` words covers whose words also start earlier, in a
     row of smaller id or before in the same row. Windows are judged on the input. ``kept``
-    holds the words that stay, joined by one space.
+    holds the words that stay, joined by one space, or the text itself if all do.
 
     A null text has no words. Rows with a null id come after all others; rows with equal
     ids, or with none, see smaller ids and themselves, but not each other. An empty table
     gives an empty one; other columns are left out.
     """
-    return _removed(docs, length, id_col, text_col, "kept")
+    return _removed(docs, length, id_col, text_col, "kept", keep)
 
 
 def remove_repeats_digest(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
