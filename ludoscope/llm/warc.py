@@ -44,18 +44,16 @@ def marked(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_col
 
 
 def train_dictionary(rows: DataFrame) -> bytes:
-    """A dictionary from a bounded sample of payloads, those of smallest hash; empty if there
-    are too few to train on."""
+    """A dictionary from a bounded sample of payloads, those of smallest hash: trained on them,
+    or where they are too few for that, their own beginnings; empty if there are none."""
     import zstandard
 
     picked = rows.where(F.octet_length("payload") >= 64).select(F.substring("payload", 1, SAMPLE_BYTES).alias("p"), F.xxhash64("page_id", "digest").alias("h")).orderBy("h", "p").limit(SAMPLE)
     samples = [bytes(r["p"]) for r in picked.collect()]  # SAMPLE x SAMPLE_BYTES at most
-    if len(samples) < 16:
-        return b""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(s[: DICTIONARY_BYTES // len(samples)] for s in samples)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
