@@ -88,7 +88,7 @@ def write(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> D
             for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
                 if out is None:
                     name, size, n = f"{uuid.uuid4().hex}.warc.zst", 0, 0
-                    out = fs.open_output_stream(f"{top}/{name}")
+                    out = fs.open_output_stream(f"{top}/{name}", compression=None)
                     if d:
                         out.write(DICTIONARY_FRAME.to_bytes(4, "little") + len(d).to_bytes(4, "little") + d)
                 frame = z.compress(record(*(x.as_py() for x in row), date))
@@ -214,7 +214,7 @@ def read(archives: DataFrame) -> DataFrame:
 
         fs, name = FileSystem.from_uri(path)
         n = 0
-        with fs.open_input_stream(name) as stream:
+        with fs.open_input_stream(name, compression=None) as stream:
             try:
                 for raw in frames(stream):
                     n += 1
