@@ -2,49 +2,29 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import new_path
+from ..shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
-
-    Only where that setting is missing (local runs and tests, where one machine does
-    all the work) a temporary folder takes its place; it goes when the process ends.
-    """
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="ludoscope-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here, and a lost
     executor costs no more than the tasks it was running."""
     spark = df.sparkSession
+    ship(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -86,6 +66,50 @@ def crc_remainder(value, mod: int) -> int:
     return zlib.crc32(str(value).encode()) % mod
 
 
+#: Bits of a bitmap at least for each of its members, and at most in all (16 MB).
+BITS_EACH, MOST_BITS = 16, 1 << 27
+
+
+def bitmap(ids: DataFrame, column: str) -> np.ndarray:
+    """A map, as bytes, that tells which values aren't in a column of distinct longs: those
+    whose bit isn't set. Of others about one in BITS_EACH is let through by chance; beyond
+    MOST_BITS / BITS_EACH members more are, and the map, which is as large at most, thins
+    out less. So it may only spare work that a join would do, not replace the join."""
+    n = ids.count()
+    bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * n - 1).bit_length() if n else 0))
+    at = F.shiftrightunsigned(F.xxhash64(column), 64 - (bits.bit_length() - 1))
+
+    def chunk(own: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(1 << 16, dtype=bool)
+        on[own["at"].to_numpy() & 0xFFFF] = True
+        return pd.DataFrame({"chunk": [int(own["at"].iloc[0] >> 16)], "raw": [np.packbits(on, bitorder="little").tobytes()]})
+
+    got = ids.select(at.alias("at")).groupBy(F.shiftright("at", 16)).applyInPandas(chunk, "chunk int, raw binary").collect()  # MOST_BITS bits at most
+    out = np.zeros((bits >> 16, 1 << 13), dtype=np.uint8)
+    for r in got:
+        out[r["chunk"]] = np.frombuffer(r["raw"], dtype=np.uint8)
+    return out.ravel()
+
+
+def maybe_in(packed: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Which values, given by Spark's xxhash64, may be in a :func:`bitmap`."""
+    bits = 8 * len(packed)
+    at = hashed.view(np.uint64) >> np.uint64(64 - (bits.bit_length() - 1))
+    return packed[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+
+def thinned(rows: DataFrame, column: str, packed: np.ndarray, inside: bool = True) -> DataFrame:
+    """The rows whose value may be in a :func:`bitmap`, or the others, for which it surely
+    isn't. Only the hash goes to Python."""
+    held = rows.sparkSession.sparkContext.broadcast(packed)  # MOST_BITS at most
+
+    @F.pandas_udf("boolean")
+    def on(hashed: pd.Series) -> pd.Series:
+        return pd.Series(maybe_in(held.value, hashed.to_numpy()) == inside)
+
+    return rows.where(on(F.xxhash64(column)))
+
+
 def as_signed(h: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit numbers as Spark's signed longs."""
     return h.view(np.int64)

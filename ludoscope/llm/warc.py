@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from ..scratch import new_path
+from .common import written
 
 #: Fixed values of the formats: frame and dictionary magic numbers, the revisit profile.
 DICTIONARY_FRAME, SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, range(0x184D2A50, 0x184D2A60), b"\x28\xb5\x2f\xfd", b"\x37\xa4\x30\xec"
