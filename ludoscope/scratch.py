@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it isn't set, and one machine does all the work, a
     temporary folder that goes when the process ends."""
@@ -18,10 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
         return conf.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="ludoscope-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
+    if not _made:
+        _made.append(tempfile.mkdtemp(prefix="ludoscope-"))
+        atexit.register(shutil.rmtree, _made[0], ignore_errors=True)
+    return f"file://{_made[0]}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
