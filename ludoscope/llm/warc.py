@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import new_path
-from .common import written
+from .common import bitmap, thinned, written
 
 #: Fixed values of the formats: frame and dictionary magic numbers, the revisit profile.
 DICTIONARY_FRAME, SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, range(0x184D2A50, 0x184D2A60), b"\x28\xb5\x2f\xfd", b"\x37\xa4\x30\xec"
@@ -40,8 +40,12 @@ def marked(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_col
     rows = rows.withColumn("digest", F.sha1("payload"))
     told = rows.where((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
     keeper = told.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").drop("least")
-    revisits = told.join(keeper, "digest").where("page_id < refers_to").distinct()
-    return rows.join(revisits, ["page_id", "digest"], "left")
+    revisits = written(told.join(keeper, "digest").where("page_id < refers_to").distinct(), "revisits")
+    # payloads that surely are no revisits stay where they are
+    some = bitmap(revisits.select("page_id").distinct(), "page_id")
+    moved = thinned(rows, "page_id", some).join(revisits, ["page_id", "digest"], "left")
+    still = thinned(rows, "page_id", some, inside=False).withColumn("refers_to", F.lit(None).cast("long"))
+    return moved.select(still.columns).union(still)
 
 
 def train_dictionary(rows: DataFrame) -> bytes:
