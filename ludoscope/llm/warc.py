@@ -53,8 +53,10 @@ def train_dictionary(rows: DataFrame) -> bytes:
     or where they are too few for that, their own beginnings; empty if there are none."""
     import zstandard
 
-    picked = rows.where(F.octet_length("payload") >= 64).select(F.substring("payload", 1, SAMPLE_BYTES).alias("p"), F.xxhash64("page_id", "digest").alias("h")).orderBy("h", "p").limit(SAMPLE)
-    samples = [bytes(r["p"]) for r in picked.collect()]  # SAMPLE x SAMPLE_BYTES at most
+    told = rows.where(F.octet_length("payload") >= 64).select("page_id", "digest", F.xxhash64("page_id", "digest").alias("h"))
+    picked = F.broadcast(told.orderBy("h", "page_id").limit(SAMPLE).distinct())  # SAMPLE rows of a few bytes
+    got = rows.join(picked, ["page_id", "digest"]).select("h", F.substring("payload", 1, SAMPLE_BYTES).alias("p")).dropDuplicates(["h"]).orderBy("h")
+    samples = [bytes(r["p"]) for r in got.collect()]  # SAMPLE x SAMPLE_BYTES at most
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
