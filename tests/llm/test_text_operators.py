@@ -194,6 +194,10 @@ def test_substring_odd_rows(spark):
     assert by[(8, 27000)].n_removed == 27000 - 3
     assert got.where("n_removed = 0 and n_words < 20").count() == len(ODD) + 3
     assert substrings.remove_repeats(odd(spark).limit(0), 20).count() == 0
+    long, other = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    shared = spark.createDataFrame([(1, long), (5, long), (5, other), (5, other), (None, long), (None, other), (9, long)], "doc_id long, text string")
+    got = {(r.doc_id, r.kept[:2], r.n_removed) for r in substrings.remove_repeats(shared, 20).collect()}
+    assert got == {(1, "w0", 0), (5, "", 30), (5, "v0", 0), (None, "", 30), (9, "", 30)}
 
 
 # -- operator 4 ---------------------------------------------------------------------------------
@@ -208,7 +212,7 @@ def lines_by_hand(rows):
             if x := lines.normalised(line):
                 first.setdefault(x, (i, k))
     all_lines = list(first)
-    blocks = [set(x) for x in zip(*(b.tolist() for b in lines.blocks(lines.simhashes(all_lines))), strict=True)]
+    blocks = [set(x) for x in zip(*(b.tolist() for b in lines.blocks(lines.simhashes([x.encode() for x in all_lines]))), strict=True)]
     fuzzy = [" " in x and len(x) >= 5 for x in all_lines]
     links = []
     for a in range(len(all_lines)):
@@ -263,6 +267,21 @@ def test_line_odd_rows(spark):
     assert lines.dedup(odd(spark).limit(0)).count() == 0
 
 
+def test_spark_hash_and_bitmap(spark):
+    from ludoscope.llm.common import bitmap, maybe_in, spark_hash, thinned
+
+    df = spark.range(-500, 3000, 7).selectExpr("id * 1234567891011 as x")
+    rows = df.select("x", F.xxhash64("x").alias("h")).collect()
+    assert spark_hash(np.array([r.x for r in rows])).tolist() == [r.h for r in rows]
+    packed = bitmap(df, "x")
+    assert maybe_in(packed, np.array([r.h for r in rows])).all()
+    others = spark.range(5000).selectExpr("id * 98765 + 1 as x")
+    kept = thinned(others, "x", packed).count()
+    assert kept < 1000 and kept + thinned(others, "x", packed, inside=False).count() == 5000
+    assert thinned(df, "x", packed).count() == len(rows)
+    assert not bitmap(df.limit(0), "x").any()
+
+
 def test_edit_distance():
     def plain(a, b):
         p = list(range(len(b) + 1))
@@ -278,6 +297,9 @@ def test_edit_distance():
         a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 12))) for _ in "ab")
         m = r.randint(0, 12)
         assert lines.edit_distance(a, b, m) == min(plain(a, b), m + 1)
+        a, b = (" ".join(r.choice(["ab", "c", "bca", "dd"]) for _ in range(r.randint(1, 8))) for _ in "ab")
+        assert lines.word_edits(a.split(" "), b.split(" "), 99) >= plain(a, b)
+        assert lines.similar_lines(a, b) == (5 * plain(a, b) <= max(len(a), len(b)))
 
 
 # -- operator 6 -----------------------------------------------------------------------------------
