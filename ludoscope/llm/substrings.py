@@ -9,7 +9,7 @@ and so on, until no candidates survive or the greatest length asked for is reach
 Documents that are equal as a whole are reduced to the first before all this.
 
 Windows are compared by 64-bit hashes of their words at the first level, where a chance
-match costs only time, and by two such hashes from then on.
+match costs only time, and by 96 bits from then on.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_signed, in_pieces, mix, written
+from .common import as_signed, bitmap, in_pieces, mix, thinned, written
 
 #: Characters of text that are hashed at a time.
 RUN = 1_000_000
@@ -93,40 +93,42 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (
 
 
 def copies(rows: DataFrame) -> DataFrame:
-    """``doc, t`` of the ids whose one text, as a whole, a smaller id has too."""
+    """``doc, t, only boolean`` of the rows whose whole text a smaller id has too; ``only`` is
+    true where the id has no other text."""
     told = rows.select("doc", "t", F.md5(F.col("text").cast("binary")).alias("m"))
     first = told.groupBy("m").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("m", "first")
-    single = told.groupBy("doc").agg(F.min("t").alias("t"), F.min("m").alias("m"), F.max("m").alias("m2")).where("m = m2")
-    return single.join(first, "m").where("doc > first").select("doc", "t")
+    single = told.groupBy("doc").agg((F.min("m") == F.max("m")).alias("only"))
+    return told.join(first, "m").where("doc > first").select("doc", "t").distinct().join(single, "doc")
 
 
 def repeated_windows(rows: DataFrame, length: int, but: DataFrame) -> DataFrame:
     """``doc long, t long, start int, a long, b long, again boolean``: the windows of
     ``length`` words that may occur more than once, among them all that do; a, b are the
-    window's hashes, ``again`` is true where the same row has the window before. The rows
-    ``but`` (``doc, t``) give none, though others are compared with them."""
+    window's hashes, ``again`` is true where the same row has the window before. Those that
+    only rows of one and the same text have are left out, and so are the rows of the ids
+    ``but`` (``doc``)."""
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for part in in_pieces(batch.column(1), RUN):
-                ids = batch.column(0).slice(at, len(part)).to_numpy()
+            for part in in_pieces(batch.column(2), RUN):
+                ids, texts = (batch.column(c).slice(at, len(part)).to_numpy() for c in (0, 1))
                 at += len(part)
-                doc, found, n = [], [], []
-                for i, t in zip(ids, part, strict=True):
-                    _, half, anchor = _plan(t, length)
+                found, n = [], []
+                for text in part:
+                    _, half, anchor = _plan(text, length)
                     h, c = np.unique(half[np.unique(anchor)], return_counts=True)
-                    doc.append(np.full(len(h), i))
                     found.append(h)
                     n.append(c)
-                doc, found, n = map(np.concatenate, (doc, found, n))
-                for x in range(0, len(doc), 100_000):
-                    s = slice(x, x + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(as_signed(found[s])), pa.array(n[s])], ["doc", "h", "n"])
+                each = [len(h) for h in found]
+                cols = [np.repeat(ids, each), np.repeat(texts, each), as_signed(np.concatenate(found)), np.minimum(np.concatenate(n), 2).astype(np.int32)]
+                for x in range(0, len(cols[0]), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[x : x + 100_000]) for c in cols], ["doc", "t", "h", "n"])
 
-    level = rows.select("doc", "text").mapInArrow(halves, "doc long, h long, n long")
-    often = level.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    wanted = level.join(often, "h", "left_semi").groupBy("doc").agg(F.collect_list("h").alias("hs"))
+    level = rows.select("doc", "t", "text").mapInArrow(halves, "doc long, t long, h long, n int")
+    # in two different texts, or twice in one: what only copies of a text share is no candidate
+    often = level.groupBy("h").agg(F.min("t").alias("t"), F.max("t").alias("t2"), F.max("n").alias("n")).where("t < t2 or n > 1").select("h")
+    wanted = level.select("doc", "h").join(often, "h", "left_semi").groupBy("doc").agg(F.collect_list("h").alias("hs"))
 
     def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,10 +146,11 @@ def repeated_windows(rows: DataFrame, length: int, but: DataFrame) -> DataFrame:
                 for x in range(0, len(start), 100_000):
                     s = slice(x, x + 100_000)
                     m = len(start[s])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, doc)), pa.array(np.full(m, t)), pa.array(start[s].astype(np.int32)), pa.array(a[s]), pa.array(b[s]), pa.array(again[s])], ["doc", "t", "start", "a", "b", "again"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, doc)), pa.array(np.full(m, t)), pa.array(start[s].astype(np.int32)), pa.array(a[s]), pa.array(b[s].astype(np.int32)), pa.array(again[s])], ["doc", "t", "start", "a", "b", "again"])
 
-    held = wanted.join(but.select("doc"), "doc", "left_anti")
-    return rows.select("doc", "t", "text").join(held, "doc").mapInArrow(wholes, "doc long, t long, start int, a long, b long, again boolean")
+    held = written(wanted.join(but, "doc", "left_anti"), "anchors")
+    some = thinned(rows.select("doc", "t", "text"), "doc", bitmap(held.select("doc"), "doc"))  # so that few texts move
+    return some.join(held, "doc").mapInArrow(wholes, "doc long, t long, start int, a long, b int, again boolean")
 
 
 def survivors(windows: DataFrame) -> DataFrame:
@@ -160,14 +163,14 @@ def longer(windows: DataFrame, length: int) -> DataFrame:
     """Windows twice as long as ``length``, of two surviving ones that follow each other."""
     after = windows.select("doc", "t", (F.col("start") - length).alias("start"), F.col("a").alias("a2"), F.col("b").alias("b2"))
     both = windows.select("doc", "t", "start", "a", "b").join(after, ["doc", "t", "start"])
-    return both.select("doc", "t", "start", F.xxhash64("a", "a2").alias("a"), F.xxhash64("b", "b2").alias("b"))
+    return both.select("doc", "t", "start", F.xxhash64("a", "a2").alias("a"), F.shiftright(F.xxhash64("b", "b2"), 32).cast("int").alias("b"))
 
 
 def levels(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> Iterator[tuple[int, DataFrame]]:
     """The lengths ``length``, 2 ``length``, ... with their repeated windows (``doc, t, start,
-    a, b, first_doc``; t is the text's hash), until no candidates survive. Whole copies
-    count like any others here."""
-    none = docs.sparkSession.createDataFrame([], "doc long, t long")
+    a, b, first_doc``; t is the text's hash), until no candidates survive. Rows of one and the
+    same text count as one: what only they share isn't repeated here."""
+    none = docs.sparkSession.createDataFrame([], "doc long")
     now = written(survivors(repeated_windows(_rows(docs, id_col, text_col), length, none).drop("again")), "windows")
     while not now.isEmpty():
         yield length, now
@@ -178,13 +181,13 @@ def levels(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col:
 def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
     rows = _rows(docs, id_col, text_col, keep)
     whole = written(copies(rows), "copies")
-    windows = repeated_windows(rows, length, whole)
-    # whole copies aren't among the windows: what they repeat, their first has, whose id is smaller
+    windows = repeated_windows(rows, length, whole.where("only").select("doc"))
+    # most whole copies aren't among the windows: what they repeat, their first has, whose id is smaller
     seen = windows.where("not again").groupBy("a", "b").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
     later = windows.where("not again").join(seen, ["a", "b"]).where("doc > first_doc").select("doc", "t", "start")
     own = windows.where("again").select("doc", "t", "start")
     covered = later.union(own).groupBy("doc", "t").agg(F.collect_set("start").alias("starts"))
-    covered = covered.union(whole.select("doc", "t", F.array(F.lit(-1)).alias("starts")))
+    covered = covered.join(whole, ["doc", "t"], "left_anti").union(whole.select("doc", "t", F.array(F.lit(-1)).alias("starts")))
 
     def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,8 +211,14 @@ def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, column: s
                         out.append(b" ".join(words).decode() if gone[-1] else text.as_py())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string()), *(part.column(f"k{i}") for i in range(len(keep)))], [id_col, "n_words", "n_removed", column, *keep])
 
+    covered = written(covered, "covered")
     schema = f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_words long, n_removed long, {column} string" + "".join(f", `{c}` {rows.schema[f'k{i}'].dataType.simpleString()}" for i, c in enumerate(keep))
-    return rows.join(covered, ["doc", "t"], "left").select("id", "text", "starts", *(f"k{i}" for i in range(len(keep)))).mapInArrow(stay, schema)
+    names = ["id", "text", "starts", *(f"k{i}" for i in range(len(keep)))]
+    # texts that surely lose nothing stay where they are
+    lossy = bitmap(covered.select("doc").distinct(), "doc")
+    moved = thinned(rows, "doc", lossy).join(covered, ["doc", "t"], "left").select(names)
+    still = thinned(rows, "doc", lossy, inside=False).withColumn("starts", F.lit(None).cast("array<int>")).select(names)
+    return moved.union(still).mapInArrow(stay, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
