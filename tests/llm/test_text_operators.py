@@ -267,6 +267,46 @@ def test_line_odd_rows(spark):
     assert lines.dedup(odd(spark).limit(0)).count() == 0
 
 
+def _kept(spark, texts):
+    """Which of some one-line documents keep their line."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [i for i, t in sorted((x.doc_id, x.text) for x in lines.dedup(df).collect()) if t]
+
+
+def test_similar_lines_meet(spark):
+    """Against plain edit distance over all pairs."""
+    r = random.Random(21)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8))) for _ in range(600)]
+    texts = []
+    for n in (2, 3, 5, 7, 10, 20, 40):
+        for _ in range(12):
+            w = [r.choice(words) for _ in range(n)]
+            texts.append(" ".join(w))
+            k = r.randrange(n)
+            if n >= 10:  # a word in ten or fewer
+                w[k] = r.choice(words)
+            else:
+                w[k] = w[k][:1] + "q" + w[k][2:]
+            texts.append(" ".join(w))
+    plain = list(dict.fromkeys(texts))
+    linked = [(a, b) for b in range(len(plain)) for a in range(b) if lines.edit_distance(plain[a], plain[b], most := max(len(plain[a]), len(plain[b])) // 5) <= most]
+    groups = components(range(len(plain)), linked)
+    assert len(linked) > 80
+    missed = len(_kept(spark, plain)) - len(set(groups.values()))
+    assert 0 <= missed <= 1
+
+
+def test_short_lines_meet_surely():
+    r = random.Random(22)
+    for _ in range(500):
+        a = "".join(r.choice("abé字 ") for _ in range(r.randint(4, 9))).replace(" ", "x")
+        k = r.randrange(len(a))
+        for b in (a[:k] + a[k + 1 :], a[:k] + "z" + a[k + 1 :]):
+            if len(b) >= 4:
+                x, y = (set(z) for z in np.stack(lines.blocks(lines.simhashes([a.encode(), b.encode()]))).T.tolist())
+                assert x & y
+
+
 def test_spark_hash_and_bitmap(spark):
     from ludoscope.llm.common import bitmap, maybe_in, spark_hash, thinned
 
