@@ -278,7 +278,7 @@ def test_similar_lines_meet(spark):
     r = random.Random(21)
     words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8))) for _ in range(600)]
     texts = []
-    for n in (2, 3, 5, 7, 10, 20, 40):
+    for n in (1, 2, 3, 5, 7, 10, 20, 40):
         for _ in range(12):
             w = [r.choice(words) for _ in range(n)]
             texts.append(" ".join(w))
@@ -307,6 +307,18 @@ def test_short_lines_meet_surely():
                 assert x & y
 
 
+def test_lines_of_one_word(spark):
+    cjk = "".join(chr(0x4E00 + 37 * i % 5000) for i in range(70))
+    texts = ["internationalization", "internationalisation", cjk, cjk[:30] + "字" + cjk[31:], "abcd", "abcde", "xyz", "xyw"]
+    assert _kept(spark, texts) == [0, 2, 4, 6, 7]
+
+
+def test_lines_beyond_ascii():
+    assert lines.normalised("ÉTÉ À　la  Plage 7!") == "été à la plage 0"
+    for text in ("É b\x1cC\n \nD", "A b\x1cC\n \nD"):
+        assert [x.decode() for x in lines._plain_lines(text)] == [lines.normalised(x) for x in text.split("\n")]
+
+
 def test_spark_hash_and_bitmap(spark):
     from ludoscope.llm.common import bitmap, maybe_in, spark_hash, thinned
 
