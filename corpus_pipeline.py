@@ -12,12 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ludoscope.llm import lines, packing, quality, simhash, substrings
+from ludoscope.llm import lines, packing, quality, shingles, substrings
 from ludoscope.llm.common import table, written
 
 #: Bits of the near-dedup stage's fingerprints, over the distinct words of a text, and in how
-#: many two texts that are kept apart must differ. Texts whose five-word shingles have a
-#: similarity of 0.8 differ in about one word of 45, hence by about 9 of these bits.
+#: many two texts may differ to be compared. MinHash keys find those that differ in more.
 BITS, DIFFER = 128, 11
 
 
@@ -42,11 +41,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates. Rows without
-    an id are all kept."""
-    found = simhash.near_duplicates(docs, k=DIFFER, shingle=1, bits=BITS, repeats=False)
-    later = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    """One document, that of the smallest id, of each group linked by five-word shingles at a
+    similarity of at least 0.8. Rows without an id are all kept."""
+    return shingles.without_later(docs, k=DIFFER, bits=BITS).select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from ludoscope.llm import shingles
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -47,3 +50,40 @@ def test_near_copies_go(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {x.doc_id for x in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()}
     assert kept >= set(range(40)) and len(kept - set(range(40))) <= 1
+
+
+@pytest.mark.parametrize("few", [16, 2])
+def test_near_copies_are_those_of_brute_force(spark, few):
+    r = random.Random(11)
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "tu", "re") for b in ("ra", "sen", "tol", "vu", "xi") for c in ("a", "on", "ek")]
+    texts = []
+    for n in (3, 6, 15, 20, 60, 200):
+        for _ in range(8):
+            w = [r.choice(words) for _ in range(n)]
+            texts.append(w)
+            texts.append(r.sample(w, n))  # the same words in another order
+            texts.append([*w[:-1], "end"])  # near where n is 15 or more
+            texts.append([*w, *(r.choice(words) for _ in range(n // 8))])
+            k = n // 2
+            texts.append([*w[:k], "mid", *w[k + 1 :]])
+            texts.append([r.choice(words) if i % 30 == 7 else x for i, x in enumerate(w)])  # a similarity of 0.5-0.7 for long ones
+    crowd = [r.choice(words) for _ in range(100)]
+    texts += [[*crowd[i % 4 :], f"x{i}"] for i in range(30)]
+
+    def cut(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    own = [cut(w) for w in texts]
+    label = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b]) and label[a] != label[b]:
+                lo, hi = sorted((label[a], label[b]))
+                label = [lo if x == hi else x for x in label]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = shingles.near_duplicates(docs, corpus_pipeline.DIFFER, corpus_pipeline.BITS, few=few)
+    by = {x.t: x.keeper for x in found.collect()}
+    got = [by[int(np.array([shingles.shingle_set(" ".join(w), 5)[1]], np.uint64).view(np.int64)[0])] for w in texts]
+    assert got == label
+    kept = corpus_pipeline.near_dedup_stage(spark, docs.selectExpr("*", "'en' as lang", "'s' as source", "1L as n_chars"), "").collect()
+    assert sorted(x.doc_id for x in kept) == sorted(set(label))
