@@ -5,9 +5,9 @@ What the planner needs of them is only how many pieces have each length, a table
 longer than the capacity whatever the corpus. On it the linear grouping scheme runs:
 large lengths are sorted and cut into groups of equal cardinality, each rounded up to
 its longest; fractional configurations of the few rounded lengths are optimised by
-column generation and rounded down; the actual lengths take the places of the rounded
-ones; what is left over, and all small lengths, go best-fit into the space that
-remains. The plan is a list of runs "the pieces ranked a to b among those of length s
+column generation and rounded down; actual lengths take the places of the rounded
+ones, in a sequence's last place the longest that fits; what is left over, and all small
+lengths, go best-fit into the space that remains. The plan is a list of runs "the pieces ranked a to b among those of length s
 go to these places"; ranks are counted in parallel, so no task sees all pieces.
 """
 
@@ -17,9 +17,12 @@ import bisect
 import gc
 import hashlib
 import json
+import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +32,15 @@ from pyspark.sql import functions as F
 from .bpe import byte_characters
 from .common import in_pieces, written
 
-#: Chunks remembered by each Python worker (some 200 bytes each); a full memory is emptied.
-CACHE = 600_000
+#: Chunks remembered by each Python worker (some 200 bytes each) before they count as old;
+#: old ones that aren't met again until as many new ones are known are forgotten.
+CACHE = 400_000
 #: Bytes of text that are tokenised at a time.
 RUN = 1_000_000
+#: A gap of fewer tokens is left to be filled as a whole, since few documents are so short.
+SPARE = 128
+#: A byte that UTF-8 never has, for the end of a word.
+END = b"\xff"
 #: Groups of the large lengths.
 GROUPS = 32
 #: Shares of the capacity above which a length may count as large; of the plans for each,
@@ -42,6 +50,15 @@ LARGE = (1 / 4, 1 / 3, 1 / 2)
 _tokenizers: dict[str, "Chunks"] = {}
 
 
+def byte_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
+    """The tokens of a byte-mapped vocabulary as bytes, those that end a word with END after
+    them. Merging the pair of lowest rank first by these is what the list of merges does if
+    every token has one pair that makes it, as a test holds for the given vocabulary."""
+    back = {c: b for b, c in enumerate(chr(b).translate(byte_characters()) for b in range(256))}
+    out = {bytes(back[c] for c in t.removesuffix("</w>")) + END * t.endswith("</w>"): i for t, i in vocabulary.items()}
+    return out | {END: len(vocabulary)}
+
+
 class Chunks:
     """Ids of texts by a tokenizer that drops white space, as little-endian uint32 bytes.
 
@@ -49,7 +66,8 @@ class Chunks:
     chunks are remembered. Lower case being the tokenizer's own first step, A-Z are
     lowered before, unless a combining mark might join the letter. New chunks of plain
     Latin text, which no normal form changes, are split into words by the tokenizer's
-    own pattern and go word by word to its merges; all others take the whole tokenizer.
+    own pattern, its classes spelt out, and merged word by word; all others take the
+    whole tokenizer.
     """
 
     def __init__(self, definition: str):
@@ -57,40 +75,42 @@ class Chunks:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core already
         import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(definition)
         told = json.loads(definition)
-        split = next((p for p in (told.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split" and p["behavior"] == "Removed" and p["invert"]), None)
-        self.words = split and regex.compile(split["pattern"]["Regex"])
-        self.merges = Tokenizer.from_str(json.dumps(told | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
-        self.chars = byte_characters()
-        self.plain = regex.compile("[!-~\u00a1-\u024f]+")
+        split = next((p["pattern"]["Regex"] for p in (told.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split" and p["behavior"] == "Removed" and p["invert"]), None)
+        self.words = None
+        if split and told["model"].get("end_of_word_suffix") == "</w>":
+            kinds = {k: re.escape("".join(c for c in map(chr, range(0x21, 0x250)) if unicodedata.category(c)[0] == k)) for k in "LN"}
+            for k, own in kinds.items():
+                split = split.replace(f"[\\p{{{k}}}]", f"[{own}]").replace(f"\\p{{{k}}}", own)
+            if "\\p" not in split:
+                self.words = re.compile(split).findall
+        self.merged = tiktoken.Encoding("merges", pat_str=".+", mergeable_ranks=byte_ranks(told["model"]["vocab"]), special_tokens={})._core_bpe.encode_single_piece if self.words else None
+        self.plain = re.compile("[!-~\u00a1-\u024f]+")
         self.marks = regex.compile(r"\p{M}")
         self.known: dict[bytes, bytes] = {}
-        self.known_words: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """The ids of chunks that aren't remembered; they are from now on."""
-        split, odd = [], []
+        new, odd = {}, []
+        words, merged = self.words, self.merged
         for c in chunks:
             t = c.decode()
-            if self.words and b"<|" not in c and self.plain.fullmatch(t):
-                split.append((c, self.words.findall(t.lower())))
+            if words and b"<|" not in c and (t.isprintable() if t.isascii() else self.plain.fullmatch(t)):
+                ids: list[int] = []
+                for w in words(t.lower()):
+                    ids += merged(w.encode() + END)
+                new[c] = array("I", ids).tobytes()
             else:
-                odd.append((c, t))
-        have = self.known_words
-        fresh = list({w for _, ws in split for w in ws if w not in have})
-        if len(have) + len(fresh) > CACHE:
-            have.clear()
-            fresh = list({w for _, ws in split for w in ws})
-        mapped = [w.encode().decode("latin-1").translate(self.chars) for w in fresh]
-        have.update((w, array("I", e.ids).tobytes()) for w, e in zip(fresh, self.merges.encode_batch_fast(mapped, add_special_tokens=False), strict=True))
-        new = {c: have[ws[0]] if len(ws) == 1 else b"".join(map(have.__getitem__, ws)) for c, ws in split}
-        got = self.model.encode_batch([t for _, t in odd], add_special_tokens=False)
-        new |= {c: array("I", e.ids).tobytes() for (c, _), e in zip(odd, got, strict=True)}
+                odd.append(c)
+        got = self.model.encode_batch([c.decode() for c in odd], add_special_tokens=False)
+        new |= {c: array("I", e.ids).tobytes() for c, e in zip(odd, got, strict=True)}
         if len(self.known) + len(new) > CACHE:
-            self.known.clear()
+            self.old, self.known = self.known, {}
         self.known.update(new)
         return new
 
@@ -100,13 +120,21 @@ class Chunks:
             raw = t.encode()
             special = b"<|" in raw  # the tokenizer finds special tokens before it lowers case
             cut.append((raw if special or (len(raw) != len(t) and self.marks.search(t)) else raw.lower()).split())
-        got = [list(map(self.known.get, c)) for c in cut]
-        gaps = [(i, k) for i, ids in enumerate(got) if None in ids for k, x in enumerate(ids) if x is None]
-        if gaps:
-            new = self._learn({cut[i][k] for i, k in gaps})
-            for i, k in gaps:
-                got[i][k] = new[cut[i][k]]
-        return list(map(b"".join, got))
+        here = dict.fromkeys(chain.from_iterable(cut))  # of this run only, so that looking up is fast
+        fresh = []
+        known, old = self.known, self.old
+        for c in here:
+            x = known.get(c)
+            if x is None:
+                x = old.get(c)
+                if x is None:
+                    fresh.append(c)
+                else:
+                    known[c] = x
+            here[c] = x
+        if fresh:
+            here |= self._learn(fresh)
+        return [b"".join(map(here.__getitem__, c)) for c in cut]
 
     def long_ids(self, text: str) -> bytes:
         """The ids of one text, however long, in pieces of bounded size."""
@@ -235,44 +263,51 @@ def plan_for(counts: dict[int, int], capacity: int, groups: int, large: float) -
     big = sorted((s for s in left if s > large * capacity), reverse=True)
     per = -(-sum(left[s] for s in big) // groups) if big else 0
     rounded: list[int] = []
-    members: list[list[list[int]]] = []  # of a group: [length, pieces], longest first
+    members: list[int] = []  # pieces of a group
     room_in_group = 0
     for s in big:
         n = left[s]
         while n:
             if not room_in_group:
                 rounded.append(s)
-                members.append([])
+                members.append(0)
                 room_in_group = per
             t = min(n, room_in_group)
-            members[-1].append([s, t])
+            members[-1] += t
             n -= t
             room_in_group -= t
-    merged: dict[int, int] = {}
+    demand: dict[int, int] = {}
     for s, own in zip(rounded, members, strict=True):
-        merged[s] = merged.get(s, 0) + sum(n for _, n in own)
-    sizes = list(merged)
-    queue = {s: [x for r, own in zip(rounded, members, strict=True) if r == s for x in own] for s in sizes}
-    for pattern, times in configurations(sizes, [merged[s] for s in sizes], capacity):
+        demand[s] = demand.get(s, 0) + own
+    sizes = list(demand)
+    large_left = sorted(big)
+
+    def longest(limit: int) -> int | None:
+        """The longest large piece left of at most ``limit``."""
+        k = bisect.bisect_right(large_left, limit)
+        while k and not left[large_left[k - 1]]:
+            k -= 1
+            del large_left[k]
+        return large_left[k - 1] if k else None
+
+    # actual pieces take the places: the longest left that the rounded length allows, and in a
+    # sequence's last place the longest left that fits, so that little of it stays empty
+    for pattern, times in configurations(sizes, [demand[s] for s in sizes], capacity):
         runs = [(sequences, times, capacity)]
-        sequences += times
-        for j, slots in enumerate(pattern):
-            for _ in range(slots):
-                after = []
-                for first, n, room in runs:
-                    own = queue[sizes[j]]
-                    while n and own:
-                        s, there = own[0]
-                        t = min(n, there)
-                        place(s, t, first, room, 1)
-                        after.append((first, t, room - s))
-                        own[0][1] -= t
-                        if not own[0][1]:
-                            own.pop(0)
-                        first, n = first + t, n - t
-                    if n:
-                        after.append((first, n, room))
-                runs = after
+        slots = [s for s, c in sorted(zip(sizes, pattern, strict=True), reverse=True) for _ in range(c)]
+        for k, size in enumerate(slots):
+            after = []
+            for first, n, room in runs:
+                last = k == len(slots) - 1 and k > 0
+                while n and (s := longest(room if last else size)) and not (last and 0 < room - s < SPARE):
+                    t = min(n, left[s])
+                    place(s, t, first, room, 1)
+                    after.append((first, t, room - s))
+                    first, n = first + t, n - t
+                if n and k:
+                    after.append((first, n, room))
+            runs = after
+        sequences += sum(n for _, n, _ in runs)
         for first, n, room in runs:
             keep(room, first, n)
     # the rest and the small, longest first, each into the fullest sequence that takes it
@@ -309,8 +344,8 @@ def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> DataFr
     """Adds ``sequence_id long, offset long`` to pieces as made by :func:`pieces`.
 
     ``cut`` is read several times, so give a written table. Pieces are ranked among
-    those of their length by the hash of their key, then by the key; repeated rows share
-    a key and take places of their own, in any order. A null id is a key like others. An
+    those of their length by the hash of their key, then by the key, the start and the ids;
+    repeated rows are alike in all of these and take places of their own. A null id is a key like others. An
     empty table gives an empty one.
     """
     counted = cut.groupBy("length").count().collect()  # at most `capacity` rows
@@ -321,7 +356,7 @@ def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> DataFr
     salted = cut.withColumn("__salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("length", "__salt").count().select("length", "__salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    own = Window.partitionBy("length", "__salt").orderBy(id_col, "piece")
+    own = Window.partitionBy("length", "__salt").orderBy(id_col, "piece", "start", "ids_crc32")
     ranked = salted.withColumn("__n", F.row_number().over(own)).join(starts, ["length", "__salt"]).withColumn("__rank", F.col("__before") + F.col("__n") - 1).drop("__salt", "__before", "__n")
     places = cut.sparkSession.sparkContext.broadcast(rows)  # its rows are bounded by the capacity
     names = [c for c in cut.columns]
