@@ -3,13 +3,16 @@
 The first level looks at windows of half the length, and only at those with the
 smallest hash among the ones inside some full window: equal full windows choose the
 same. Windows that occur once there are out, and with them every full window that
-chose them. The others are extended to twice the length and compared as a whole; the
-windows that survive are joined with the window that follows them, again twice as long,
-and so on, until no candidates survive or the greatest length asked for is reached.
+chose them. What is repeated is extended to twice that length, the full windows around
+it, and compared again; :func:`levels` goes on from there, joining surviving windows
+with the one that follows them, again twice as long, until no candidates survive. What
+a repeated longer window covers, repeated windows of the full length cover too, so the
+removal of words stops at that level.
 Documents that are equal as a whole are reduced to the first before all this.
 
 Windows are compared by 64-bit hashes of their words at the first level, where a chance
-match costs only time, and by 96 bits from then on.
+match costs only time, and by 96 bits from then on. Texts are hashed many at a time, in
+runs of about a megabyte.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from .common import as_signed, bitmap, in_pieces, mix, thinned, written
 
 #: Characters of text that are hashed at a time.
 RUN = 1_000_000
+#: Tasks in which the copies of one text are looked up.
+SALTS = 16
 #: An odd multiplier for each of the two hashes of a window.
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -35,11 +40,35 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word."""
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts in order, eight bytes of it at a time (those of
+    over 64 bytes by XXH3), and the place of each text's first word, with the end last."""
     import xxhash
 
-    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype=np.uint64)
+    raw = "\n".join([*texts, ""]).encode()
+    data = np.frombuffer(raw + bytes(8), dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[data[: len(raw)]], prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
+    eight = np.ndarray(shape=(len(raw) + 1,), dtype="<u8", buffer=data, strides=(1,))
+    size = end - start
+    h = mix(size.astype(np.uint64))
+    at = np.flatnonzero(size <= 64)
+    k = 0
+    while len(at):
+        have = np.minimum(size[at] - 8 * k, 8).astype(np.uint64)
+        part = eight[start[at] + 8 * k] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * have))
+        h[at] = mix(h[at] ^ part)
+        k += 1
+        at = at[size[at] > 8 * k]
+    for i in np.flatnonzero(size > 64):
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]])
+    # texts end where their line ends were put
+    length = np.fromiter((len(t) if t.isascii() else len(t.encode()) for t in texts), dtype=np.int64, count=len(texts))
+    return h, np.searchsorted(start, np.concatenate([[0], np.cumsum(length + 1)]))
 
 
 def window_hashes(words: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
@@ -60,11 +89,33 @@ def window_hashes(words: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
     return mix(out)
 
 
-def anchors(half: np.ndarray, span: int) -> np.ndarray:
-    """For each full window, the place of the smallest hash among the ``span`` half windows
-    inside it, the first of equals."""
-    views = np.lib.stride_tricks.sliding_window_view(half, span)
-    return np.arange(len(views)) + views.argmin(axis=1)
+def _sliding(values: np.ndarray, n: int, best) -> np.ndarray:
+    """The ``best`` (np.minimum, np.maximum) of each n consecutive values."""
+    have = 1
+    while 2 * have <= n:
+        values, have = best(values[:-have], values[have:]), 2 * have
+    return values if have == n else best(values[: len(values) - (n - have)], values[n - have :])
+
+
+def anchors(words: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the half windows, the smallest of those inside each full window, and which
+    full windows lie in one text. Arrays are empty if no text is so long."""
+    n = max(0, len(words) - length + 1)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    half = window_hashes(words, length // 2, BASES[0])
+    valid = np.zeros(n, dtype=bool)
+    for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
+        valid[a : max(a, b - length + 1)] = True
+    return half, _sliding(half, length - length // 2 + 1, np.minimum), valid
+
+
+def chosen(half: np.ndarray, least: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Places of the half windows that are the smallest inside some full window."""
+    span = len(half) - len(least) + 1
+    # of the full windows around a half window none has a larger smallest hash
+    padded = np.concatenate([np.zeros(span - 1, np.uint64), np.where(valid, least, np.uint64(0)), np.zeros(span - 1, np.uint64)])
+    return np.flatnonzero((_sliding(padded, span, np.maximum) == half) & (half > 0))
 
 
 def removed(n_words: int, starts: np.ndarray, length: int) -> np.ndarray:
@@ -75,15 +126,6 @@ def removed(n_words: int, starts: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _plan(text: str, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words and of the half windows, and the anchor of each full window."""
-    words = word_hashes(words_of(text))
-    if len(words) < length:
-        return words, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    half = window_hashes(words, length // 2, BASES[0])
-    return words, half, anchors(half, length - length // 2 + 1)
-
-
 def _rows(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``id``, the id as ordered here (null last), the text (null: empty), the columns ``keep``
     as k0, k1, ..., and the text's hash, which tells rows of one id apart."""
@@ -96,9 +138,12 @@ def copies(rows: DataFrame) -> DataFrame:
     """``doc, t, only boolean`` of the rows whose whole text a smaller id has too; ``only`` is
     true where the id has no other text."""
     told = rows.select("doc", "t", F.md5(F.col("text").cast("binary")).alias("m"))
-    first = told.groupBy("m").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("m", "first")
+    first = told.groupBy("m").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     single = told.groupBy("doc").agg((F.min("m") == F.max("m")).alias("only"))
-    return told.join(first, "m").where("doc > first").select("doc", "t").distinct().join(single, "doc")
+    # one text may be in a third of all rows, so each meets its copies in SALTS tasks
+    spread = first.select("m", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    later = told.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(spread, ["m", "salt"]).where("doc > first")
+    return later.select("doc", "t").distinct().join(single, "doc")
 
 
 def repeated_windows(rows: DataFrame, length: int, but: DataFrame) -> DataFrame:
@@ -114,49 +159,59 @@ def repeated_windows(rows: DataFrame, length: int, but: DataFrame) -> DataFrame:
             for part in in_pieces(batch.column(2), RUN):
                 ids, texts = (batch.column(c).slice(at, len(part)).to_numpy() for c in (0, 1))
                 at += len(part)
-                found, n = [], []
-                for text in part:
-                    _, half, anchor = _plan(text, length)
-                    h, c = np.unique(half[np.unique(anchor)], return_counts=True)
-                    found.append(h)
-                    n.append(c)
-                each = [len(h) for h in found]
-                cols = [np.repeat(ids, each), np.repeat(texts, each), as_signed(np.concatenate(found)), np.minimum(np.concatenate(n), 2).astype(np.int32)]
-                for x in range(0, len(cols[0]), 100_000):
+                words, first = word_hashes(part)
+                half, least, valid = anchors(words, first, length)
+                if not valid.any():
+                    continue
+                place = chosen(half, least, valid)
+                which = np.searchsorted(first, place, side="right") - 1
+                order = np.lexsort((half[place], which))
+                which, h = which[order], half[place][order]
+                new = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (h[1:] != h[:-1])]))
+                n = np.minimum(np.diff(np.append(new, len(h))), 2).astype(np.int32)
+                cols = [ids[which[new]], texts[which[new]], as_signed(h[new]), n]
+                for x in range(0, len(n), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c[x : x + 100_000]) for c in cols], ["doc", "t", "h", "n"])
 
-    level = rows.select("doc", "t", "text").mapInArrow(halves, "doc long, t long, h long, n int")
+    level = written(rows.select("doc", "t", "text").mapInArrow(halves, "doc long, t long, h long, n int"), "level")
     # in two different texts, or twice in one: what only copies of a text share is no candidate
     often = level.groupBy("h").agg(F.min("t").alias("t"), F.max("t").alias("t2"), F.max("n").alias("n")).where("t < t2 or n > 1").select("h")
     wanted = level.select("doc", "h").join(often, "h", "left_semi").groupBy("doc").agg(F.collect_list("h").alias("hs"))
 
     def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                doc, text, t = (batch.column(c)[k].as_py() for c in ("doc", "text", "t"))
-                w, half, anchor = _plan(text, length)
-                if not len(anchor):
+            at = 0
+            for part in in_pieces(batch.column("text"), RUN):
+                own = batch.slice(at, len(part))
+                at += len(part)
+                words, first = word_hashes(part)
+                _, least, valid = anchors(words, first, length)
+                hs = np.unique(own.column("hs").flatten().to_numpy().view(np.uint64))
+                start = np.flatnonzero(valid)
+                h = least[start]
+                start = start[hs[np.minimum(np.searchsorted(hs, h), len(hs) - 1)] == h]
+                if not len(start):
                     continue
-                hs = np.sort(batch.column("hs")[k].values.to_numpy().view(np.uint64))
-                h = half[anchor]
-                start = np.flatnonzero(hs[np.minimum(np.searchsorted(hs, h), len(hs) - 1)] == h)
-                a, b = (as_signed(window_hashes(w, length, base)[start]) for base in BASES)
-                again = np.ones(len(start), dtype=bool)
-                again[np.unique(a, return_index=True)[1]] = False  # the index of the first of equals
+                a, b = (as_signed(window_hashes(words, length, base)[start]) for base in BASES)
+                which = np.searchsorted(first, start, side="right") - 1
+                order = np.lexsort((start, a, which))
+                again = np.zeros(len(start), dtype=bool)
+                again[order[1:]] = (which[order[1:]] == which[order[:-1]]) & (a[order[1:]] == a[order[:-1]])
+                doc, t = (own.column(c).to_numpy()[which] for c in ("doc", "t"))
+                cols = [doc, t, (start - first[which]).astype(np.int32), a, b.astype(np.int32), again]
                 for x in range(0, len(start), 100_000):
-                    s = slice(x, x + 100_000)
-                    m = len(start[s])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, doc)), pa.array(np.full(m, t)), pa.array(start[s].astype(np.int32)), pa.array(a[s]), pa.array(b[s].astype(np.int32)), pa.array(again[s])], ["doc", "t", "start", "a", "b", "again"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[x : x + 100_000]) for c in cols], ["doc", "t", "start", "a", "b", "again"])
 
     held = written(wanted.join(but, "doc", "left_anti"), "anchors")
     some = thinned(rows.select("doc", "t", "text"), "doc", bitmap(held.select("doc"), "doc"))  # so that few texts move
     return some.join(held, "doc").mapInArrow(wholes, "doc long, t long, start int, a long, b int, again boolean")
 
 
-def survivors(windows: DataFrame) -> DataFrame:
-    """The windows that occur more than once, with ``first_doc``, the smallest id that has it."""
-    seen = windows.groupBy("a", "b").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
-    return windows.join(seen.drop("n"), ["a", "b"])
+def survivors(windows: DataFrame, across: bool = False) -> DataFrame:
+    """The windows that occur more than once (``across``: in more than one id), with
+    ``first_doc``, the smallest id that has it."""
+    seen = windows.groupBy("a", "b").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.count("*").alias("n"))
+    return windows.join(seen.where("first_doc < last_doc" if across else "n > 1").drop("n", "last_doc"), ["a", "b"])
 
 
 def longer(windows: DataFrame, length: int) -> DataFrame:
@@ -182,9 +237,9 @@ def _removed(docs: DataFrame, length: int, id_col: str, text_col: str, column: s
     rows = _rows(docs, id_col, text_col, keep)
     whole = written(copies(rows), "copies")
     windows = repeated_windows(rows, length, whole.where("only").select("doc"))
+    windows = written(windows, "windows")
     # most whole copies aren't among the windows: what they repeat, their first has, whose id is smaller
-    seen = windows.where("not again").groupBy("a", "b").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    later = windows.where("not again").join(seen, ["a", "b"]).where("doc > first_doc").select("doc", "t", "start")
+    later = survivors(windows.where("not again"), across=True).where("doc > first_doc").select("doc", "t", "start")
     own = windows.where("again").select("doc", "t", "start")
     covered = later.union(own).groupBy("doc", "t").agg(F.collect_set("start").alias("starts"))
     covered = covered.join(whole, ["doc", "t"], "left_anti").union(whole.select("doc", "t", F.array(F.lit(-1)).alias("starts")))
