@@ -19,28 +19,41 @@ from pyspark.sql import functions as F
 from .common import bitmap, in_pieces, mix, thinned, written
 from .graph import bucket_links, components
 from .lines import minhashed
-from .simhash import RUN, fingerprints, links, word_runs
+from .simhash import RUN, fingerprints, links
+from .substrings import word_hashes
 
-#: Keys of a text, the MinHash values in each, and texts of a key that are compared pair by pair.
-TABLES, SIZE, FEW = 32, 6, 16
+#: Keys of a text, the MinHash values in each, texts of a key that are compared pair by pair,
+#: and MinHash values in all.
+TABLES, SIZE, FEW, VALUES = 32, 6, 16, 48
 KEYS = [f"m{i}" for i in range(TABLES // 2)]
 
 
-def shingle_set(text: str, n: int) -> tuple[np.ndarray, int]:
-    """Hashes of the distinct n-word shingles of a text, in order, and one of all its words.
-    A text of fewer words has the whole sequence as its one shingle."""
+def shingle_hashes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Hashes of the n-word shingles of some texts, where those of each text start, and a hash
+    of all its words. A text of fewer words has the whole sequence as its one shingle."""
     import xxhash
 
-    got = [np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, w)), dtype=np.uint64) for w in word_runs(text) if w]
-    words = np.concatenate(got) if got else np.zeros(0, np.uint64)
-    whole = xxhash.xxh3_64_intdigest(words.tobytes())
-    if len(words) < n:
-        return np.array([whole], dtype=np.uint64), whole
+    words, first = word_hashes(texts, lower=True)
+    whole = [xxhash.xxh3_64_intdigest(words[a:b].tobytes()) for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
+    m = np.diff(first) - n + 1
+    size = np.maximum(m, 1)
+    start = np.cumsum(size) - size
+    h = np.zeros(int(size.sum()), dtype=np.uint64)
+    at = np.arange(len(h)) - np.repeat(start - first[:-1], size)
+    real = np.repeat(m > 0, size)
     with np.errstate(over="ignore"):
-        h = np.full(len(words) - n + 1, n, dtype=np.uint64)
+        own = np.full(int(real.sum()), n, dtype=np.uint64)
         for i in range(n):
-            h = mix(h * np.uint64(31) + words[i : len(words) - n + 1 + i])
-    return np.unique(h), whole
+            own = mix(own * np.uint64(31) + words[at[real] + i])
+    h[real] = own
+    h[~real] = np.array(whole, dtype=np.uint64)[m <= 0]
+    return h, start, whole
+
+
+def shingle_set(text: str, n: int) -> tuple[np.ndarray, int]:
+    """Hashes of the distinct n-word shingles of a text, in order, and one of all its words."""
+    h, _, whole = shingle_hashes([text], n)
+    return np.unique(h), whole[0]
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: tuple[int, int]) -> bool:
@@ -67,10 +80,9 @@ def near_duplicates(docs: DataFrame, k: int, bits: int, n: int = 5, least: tuple
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in _texts(batch.column(1)):
-                sets, whole = zip(*(shingle_set(t, n) for t in part), strict=True)
-                size = np.array([len(x) for x in sets])
+                h, start, whole = shingle_hashes(part, n)
                 with np.errstate(over="ignore"):
-                    own = minhashed(((np.concatenate(sets) >> np.uint64(32)).astype(np.uint32), np.cumsum(size) - size), SIZE, range(TABLES), n)
+                    own = minhashed(((h >> np.uint64(32)).astype(np.uint32), start), SIZE, range(TABLES), n, of=VALUES)
                 packed = np.ascontiguousarray(own).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(np.array(whole, dtype=np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(x)) for x in packed.T)], ["doc_id", "t", *KEYS])
 
@@ -144,7 +156,7 @@ def without_later(docs: DataFrame, k: int, bits: int, n: int = 5) -> DataFrame:
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = [shingle_set(x, n)[1] for _, part in _texts(batch.column(len(schema) + 1)) for x in part]
+            t = [x for _, part in _texts(batch.column(len(schema) + 1)) for x in shingle_hashes(part, n)[2]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(t, dtype=np.uint64).view(np.int64))], [*schema, "__id", "__t"])
 
     told = ids.mapInArrow(named, ids.drop("__text").schema.add("__t", "long"))

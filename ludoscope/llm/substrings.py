@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_signed, bitmap, in_pieces, mix, thinned, written
+from .wording import hashed, word_bounds
 
 #: Characters of text that are hashed at a time.
 RUN = 1_000_000
@@ -44,31 +45,13 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of all texts in order, eight bytes of it at a time (those of
-    over 64 bytes by XXH3), and the place of each text's first word, with the end last."""
-    import xxhash
-
+def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts in order (``lower``: with A-Z in lower case),
+    and the place of each text's first word, with the end last."""
     raw = "\n".join([*texts, ""]).encode()
-    data = np.frombuffer(raw + bytes(8), dtype=np.uint8)
-    edge = np.flatnonzero(np.diff(_SPACE[data[: len(raw)]], prepend=True, append=True))
-    start, end = edge[::2], edge[1::2]
-    eight = np.ndarray(shape=(len(raw) + 1,), dtype="<u8", buffer=data, strides=(1,))
-    size = end - start
-    h = mix(size.astype(np.uint64))
-    at = np.flatnonzero(size <= 64)
-    k = 0
-    while len(at):
-        have = np.minimum(size[at] - 8 * k, 8).astype(np.uint64)
-        part = eight[start[at] + 8 * k] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * have))
-        h[at] = mix(h[at] ^ part)
-        k += 1
-        at = at[size[at] > 8 * k]
-    for i in np.flatnonzero(size > 64):
-        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]])
-    # texts end where their line ends were put
+    start, end = word_bounds(np.frombuffer(raw, dtype=np.uint8), _SPACE)
     length = np.fromiter((len(t) if t.isascii() else len(t.encode()) for t in texts), dtype=np.int64, count=len(texts))
-    return h, np.searchsorted(start, np.concatenate([[0], np.cumsum(length + 1)]))
+    return hashed(raw.lower() if lower else raw, start, end), np.searchsorted(start, np.concatenate([[0], np.cumsum(length + 1)]))
 
 
 def window_hashes(words: np.ndarray, n: int, base: np.uint64) -> np.ndarray:

@@ -30,6 +30,32 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def word_bounds(data: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of bytes that aren't ``blank`` begin and end."""
+    edge = np.flatnonzero(np.diff(blank[data], prepend=True, append=True))
+    return edge[::2], edge[1::2]
+
+
+def hashed(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, eight bytes of it at a time; those of over 64 bytes by XXH3."""
+    import xxhash
+
+    eight = np.ndarray(shape=(len(raw) + 1,), dtype="<u8", buffer=raw + bytes(8), strides=(1,))
+    size = end - start
+    h = mix(size.astype(np.uint64))
+    at = np.flatnonzero(size <= 64)
+    k = 0
+    while len(at):
+        have = np.minimum(size[at] - 8 * k, 8).astype(np.uint64)
+        part = eight[start[at] + 8 * k] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * have))
+        h[at] = mix(h[at] ^ part)
+        k += 1
+        at = at[size[at] > 8 * k]
+    for i in np.flatnonzero(size > 64):
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]])
+    return h
+
+
 @dataclass
 class Words:
     """Runs of letters and digits, and runs of other marks, of a list of texts in order."""

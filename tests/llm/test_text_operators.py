@@ -212,7 +212,7 @@ def lines_by_hand(rows):
             if x := lines.normalised(line):
                 first.setdefault(x, (i, k))
     all_lines = list(first)
-    blocks = [set(x) for x in zip(*(b.tolist() for b in lines.blocks(lines.simhashes([x.encode() for x in all_lines]))), strict=True)]
+    blocks = [set(x) for x in zip(*(b.tolist() for b in lines.blocks(lines.simhashes(lines.normal_lines(["\n".join(all_lines)])))), strict=True)]
     fuzzy = [" " in x and len(x) >= 5 for x in all_lines]
     links = []
     for a in range(len(all_lines)):
@@ -303,7 +303,7 @@ def test_short_lines_meet_surely():
         k = r.randrange(len(a))
         for b in (a[:k] + a[k + 1 :], a[:k] + "z" + a[k + 1 :]):
             if len(b) >= 4:
-                x, y = (set(z) for z in np.stack(lines.blocks(lines.simhashes([a.encode(), b.encode()]))).T.tolist())
+                x, y = (set(z) for z in np.stack(lines.blocks(lines.simhashes(lines.normal_lines([a, b])))).T.tolist())
                 assert x & y
 
 
@@ -316,7 +316,10 @@ def test_lines_of_one_word(spark):
 def test_lines_beyond_ascii():
     assert lines.normalised("ÉTÉ À　la  Plage 7!") == "été à la plage 0"
     for text in ("É b\x1cC\n \nD", "A b\x1cC\n \nD"):
-        assert [x.decode() for x in lines._plain_lines(text)] == [lines.normalised(x) for x in text.split("\n")]
+        got = lines.normal_lines(["", text, "", text])
+        told = [(i, x) for i, line in enumerate(text.split("\n")) if (x := lines.normalised(line))]
+        assert list(zip(got.at.tolist(), [x.decode() for x in got.said(np.arange(len(got.id)))], strict=True)) == told * 2
+        assert got.text.tolist() == [1] * len(told) + [3] * len(told) and got.size.tolist() == [len(x) for _, x in told * 2]
 
 
 def test_spark_hash_and_bitmap(spark):
@@ -426,3 +429,25 @@ def test_long_text_in_runs_has_the_same_print(monkeypatch):
     monkeypatch.setattr(simhash, "RUN", 10)
     monkeypatch.setattr(simhash, "word_runs", lambda t, w=simhash.word_runs: w(t, 10))
     assert [simhash.fingerprint(text, n, 128, repeats=x) for n in (1, 3) for x in (True, False)] == whole
+
+
+def test_merging_by_ranks_is_merging_by_pairs():
+    """Each token of the vocabulary comes about by its own pair alone, so that merging by the
+    rank of what results can't differ from merging by the list of pairs."""
+    import json
+
+    told = json.load(open(P.path("word_bpe_49k.json")))["model"]
+    merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in told["merges"]]
+    order = {m: i for i, m in enumerate(merges)}
+    assert len({a + b for a, b in merges}) == len(merges)
+    ids = [told["vocab"][a + b] for a, b in merges]
+    assert ids == sorted(ids)
+    for a, b in merges:
+        whole = a + b
+        stem = whole.removesuffix("</w>")
+        parts = list(stem[:-1]) + [stem[-1] + whole[len(stem) :]]
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: order.get((parts[i], parts[i + 1]), 1 << 30))
+            assert (parts[best], parts[best + 1]) in order
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        assert parts == [whole]
