@@ -99,12 +99,6 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCK
 SCALE = 8.0
 
 
-def sparse(text: np.ndarray, bucket: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values of one text."""
-    at, count = np.unique(bucket, return_counts=True)
-    return at, SCALE * count / max(n_words, 1)
-
-
 def picked(labels: DataFrame, label: str, held_out: tuple[int, int], most: int, id_col: str = "doc_id") -> DataFrame:
     """``doc_id, y int, h long``: at most ``most`` labelled ids outside the held-out part, those
     of smallest hash. An id labelled more than once counts once, with its larger label."""
@@ -121,25 +115,34 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                got = list(features([batch.column(0)[k].as_py()]))
-                at, x = sparse(None, np.concatenate([b for _, b, _ in got]), int(sum(n.sum() for *_, n in got)))
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), batch.column(1).slice(k, 1), batch.column(2).slice(k, 1)], ["x", "at", "y", "h"])
+                n_words, found = 0, []
+                for _, bucket, n in features([batch.column(0)[k].as_py()]):
+                    n_words += int(n.sum())
+                    found.append(np.unique(bucket, return_counts=True))
+                at, inverse = np.unique(np.concatenate([b for b, _ in found]), return_inverse=True)
+                x = SCALE * np.bincount(inverse, weights=np.concatenate([c for _, c in found])) / max(n_words, 1)
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), batch.column(1).slice(k, 1), batch.column(2).slice(k, 1)], ["x", "at", "y", "h"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = [(np.frombuffer(r["at"], dtype=np.int32).astype(np.int64), np.frombuffer(r["x"]), r["y"]) for b in batches for r in b.to_pylist()]
+        # views of what came: eight bytes for each weight of a text
+        examples = [(np.frombuffer(at.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32), y.as_py()) for b in batches for x, at, y in zip(b.column(0), b.column(1), b.column(2), strict=True)]
         if examples:
             out = io.BytesIO()
             np.savez(out, w=ftrl(examples))
+            del examples
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
 
-    # one task trains, on rows whose number and size are bounded by `most` and the model
+    # one task trains, on `most` rows; each has a number for each of its buckets, of which there are BUCKETS
     fitted = rows.mapInArrow(counted, "x binary, at binary, y int, h long").repartition(1).sortWithinPartitions("h", "at", "y").mapInArrow(fit, "model binary").collect()
     return np.load(io.BytesIO(fitted[0]["model"]))["w"] if fitted else np.zeros(BUCKETS + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col, score double`` for each row, and the columns ``keep``. A null text is empty and
-    scores by the intercept alone; equal texts score alike; an empty table gives an empty one."""
+def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), least: float | None = None) -> DataFrame:
+    """``id_col, score double`` for each row, and the columns ``keep``; with ``least`` only the
+    rows of at least that score, so that the texts of others don't come back from Python. A
+    null text is empty and scores by the intercept alone; equal texts score alike; an empty
+    table gives an empty one."""
     model = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS + 1 numbers
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"), F.col(id_col), *keep)
     schema = rows.drop("__text").schema.add("score", "double")
@@ -155,7 +158,8 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
                     n_words += n
                 logit = float(w[-1]) + SCALE * dot / np.maximum(n_words, 1)
                 got = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(part)) for c in batch.columns[1:]), pa.array(got)], schema.names)
+                out = pa.RecordBatch.from_arrays([*(c.slice(at, len(part)) for c in batch.columns[1:]), pa.array(got)], schema.names)
+                yield out if least is None else out.filter(pa.array(got >= least))
                 at += len(part)
 
     return rows.mapInArrow(run, schema)
