@@ -29,8 +29,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier predicts as good (a score of at least 0.3). Rows
     are scored and kept or dropped where they lie. A null text counts as an empty one."""
     weights = quality.train(docs, table(spark, sf_dir, "labels"), "quality", held_out=(5, 0))
-    scored = quality.score(docs, weights, keep=("text", "lang", "source", "n_chars"))
-    return scored.where(F.col("score") >= 0.3).select("doc_id", "text", "lang", "source", "n_chars")
+    scored = quality.score(docs, weights, keep=("text", "lang", "source", "n_chars"), least=0.3)
+    return scored.select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
