@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +48,18 @@ def remainder(id_col: str | Column, mod: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % mod
 
 
+def give_back() -> None:
+    """Gives memory that a Python worker has freed back to the system. Workers serve one task
+    after another, and what a task held at its peak would add up with the next one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def in_pieces(column, most: int) -> Iterator[list[str]]:
     """Runs of consecutive texts of an Arrow column, of about ``most`` characters each; a
-    single text stays whole, and null is an empty text."""
+    single text stays whole, and null is an empty text. Memory is given back at the end."""
     run: list[str] = []
     size = 0
     for t in column:
@@ -59,6 +70,8 @@ def in_pieces(column, most: int) -> Iterator[list[str]]:
             run, size = [], 0
     if run:
         yield run
+    del run
+    give_back()
 
 
 def crc_remainder(value, mod: int) -> int:

@@ -34,7 +34,7 @@ from .common import in_pieces, written
 
 #: Chunks remembered by each Python worker (some 200 bytes each) before they count as old;
 #: old ones that aren't met again until as many new ones are known are forgotten.
-CACHE = 400_000
+CACHE = 150_000
 #: Bytes of text that are tokenised at a time.
 RUN = 1_000_000
 #: A gap of fewer tokens is left to be filled as a whole, since few documents are so short.
@@ -178,6 +178,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id
                 at += len(part)
                 which, n, start, length, crc = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(n, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], [id_col, "piece", "start", "length", "ids_crc32"])
+        chunks.known, chunks.old = {}, {}  # other tasks of this worker need the memory
 
     return rows.mapInArrow(run, schema)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_pieces, mix, remainder
+from .common import give_back, in_pieces, mix, remainder
 from .wording import RUN, Words, segments, words
 
 #: Weights of the model: its size, whatever the corpus.
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out:
             out = io.BytesIO()
             np.savez(out, w=ftrl(examples))
             del examples
-            pa.default_memory_pool().release_unused()
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
 
     # one task trains, on `most` rows; each has a number for each of its buckets, of which there are BUCKETS
