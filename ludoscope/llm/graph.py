@@ -73,8 +73,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds alternate until nothing changes: each round links
     nodes to smaller neighbours of their neighbours, by partial minima and joins that
-    Spark may split, and writes its edges to the shared folder. No task sees a whole
-    component. Rounds grow with the logarithm of a component's size.
+    Spark may split, and writes its edges to the shared folder. A node with very many
+    neighbours meets them in one join key, which only adaptive skew joins spread. Rounds grow with the logarithm of a component's size.
     """
     a, b = F.col("a").cast("long"), F.col("b").cast("long")
     now = written(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "edges")

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from . import bpe, embeddings, lines, packing, quality, simhash, substrings, topk, toxicity, warc
 from .common import table

@@ -222,7 +222,7 @@ def links(classes: DataFrame, k: int, bits: int, few: int = FEW) -> DataFrame:
     for r in classes.select("fingerprint").mapInArrow(histogram, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # m x 2^COARSE rows at most
         hist[r["at"]] = r["n"]
     total = k - m + 1
-    most = min(max(total + m - 1, 0), 4)
+    most = min(max(total + m - 1, 0), max(4, -(-total // m)))  # enough for thresholds to sum to `total`
     expected = [estimates(h[: 1 << c], w, most) for h, c, w in zip(hist.reshape(m, -1), coarse, widths, strict=True)]
     probes = [[len(masks(w, r)) if r <= 2 else sum(comb(w, d) for d in range(r + 1)) for r in range(most + 1)] for w in widths]
     words = [f"w{i}" for i in range(bits // 64)]
