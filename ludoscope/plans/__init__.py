@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import filter_genre, filter_genre_decade, filter_polarity, filter_polarity_language, flag_totals, flags_to_counters, left_join_count, map_filter, rows_at_or_above_quantile, sort_by_count, top_n
+from ..scratch import written
 
 
 @dataclass(frozen=True)
@@ -58,10 +59,12 @@ def q5_percentile(games: DataFrame, reviews: DataFrame, p: Params = Params(), by
     return sort_by_count(rows_at_or_above_quantile(counted, p.percentile, by=by), ties=("name", "app_id")).select(*by, "name", "n")
 
 
-def run_all(games: DataFrame, reviews: DataFrame, language: Callable[[DataFrame], DataFrame], p: Params = Params(), by: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """All five over one read of each input: both are cached, pruned to what the queries use."""
-    games = games.select(*by, "app_id", "name", "release_date", "windows", "linux", "mac", "avg_playtime_forever", "genres").cache()
-    reviews = reviews.select(*by, "app_id", "review_text", "review_score").cache()
+def run_all(games: DataFrame, reviews: DataFrame, language: Callable[[DataFrame], DataFrame], p: Params = Params(), by: Sequence[str] = (), key: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """All five over one read of each input: both are written as columns in the shared folder,
+    pruned to what the queries and ``language`` (``key``) use, and each query then reads its
+    own columns only."""
+    games = written(games.select(*by, "app_id", "name", "release_date", "windows", "linux", "mac", "avg_playtime_forever", "genres"), "games")
+    reviews = written(reviews.select(*by, "app_id", "review_text", "review_score", *key), "reviews")
     return {
         "q1": q1_platform_counts(games, by=by),
         "q2": q2_top_playtime(games, p, by=by),

@@ -8,6 +8,7 @@ sources games; events are a log of messages.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,9 +160,20 @@ def map_filter_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- joins and aggregates ---------------------------------------------------------------
 
 
-@query("SELECT p_partkey AS app_id, p_name AS name, coalesce(c.n, 0) AS n FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49 GROUP BY 1) c ON l_partkey = p_partkey")
+_BUYERS = "SELECT c_custkey AS app_id, c_name AS name, coalesce(c.n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) c ON o_custkey = c_custkey"
+
+
+def _buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as games, and their orders of a status as reviews of a polarity; some have none."""
+    score = F.when(F.col("o_orderstatus") == "P", -1).otherwise(1)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("app_id"), score.alias("review_score"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("app_id"), F.col("c_name").alias("name"))
+    return op.left_join_count(customers, op.filter_polarity(orders, False), "app_id", ["app_id", "name"])
+
+
+@query(_BUYERS)
 def left_join_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.left_join_count(games(spark, sf_dir), op.filter_polarity(reviews(spark, sf_dir), False).where("l_quantity > 49"), "app_id", ["app_id", "name"])
+    return _buyers(spark, sf_dir)
 
 
 @query(_TOTALS)
@@ -255,10 +267,9 @@ def filter_over_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _negative(spark, sf_dir).where(F.col("n") > 12).select("name", "n")
 
 
-@query(f"SELECT name, n FROM ({_COUNTED.format(_SCORE + ' < 0 AND l_quantity > 49', 'ring')}) WHERE n > 0")
+@query(f"SELECT app_id, name, n FROM ({_BUYERS}) WHERE n > 0")
 def filter_nonzero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = op.left_join_count(op.filter_genre(games(spark, sf_dir), "ring"), op.filter_polarity(reviews(spark, sf_dir), False).where("l_quantity > 49"), "app_id", ["name"])
-    return counted.where("n > 0")
+    return _buyers(spark, sf_dir).where("n > 0")
 
 
 @query(f"SELECT name, n FROM ({_NEGATIVE}) WHERE n >= 14")
@@ -275,7 +286,7 @@ _SCORES = f"{_WEIGHTS}, s AS (SELECT doc_id, CAST(sum(w) AS BIGINT) AS score FRO
 
 @query(f"SELECT tri, count(*) AS n FROM ({_TRI.format('doc_id')}) GROUP BY 1")
 def lang_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.count_by_key(language.lang_ngrams(table(spark, sf_dir, "documents"), "doc_id"), "tri")
+    return language.lang_ngrams(table(spark, sf_dir, "documents"), "doc_id").where("tri is not null").groupBy("tri").agg(F.sum("n").alias("n"))
 
 
 @query(f"{_WEIGHTS} SELECT tri, w FROM w")
@@ -357,13 +368,35 @@ def multi_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q3.select(F.lit("q3").alias("query"), "job_id", "name", "n").union(q5.select(F.lit("q5").alias("query"), "job_id", "name", "n"))
 
 
-@query(f"SELECT 'q3' AS query, name, CAST(n AS DOUBLE) AS value FROM ({_Q3}) UNION ALL SELECT 'q5', name, CAST(n AS DOUBLE) FROM (" + _AT_LEAST.format(_NEGATIVE, 90) + " SELECT name, n FROM c, v WHERE n >= value)")
+_UPLOAD = f"""{_SCORES}, g AS (SELECT o_orderkey AS app_id, CAST(o_orderkey AS VARCHAR) AS name, {_DECADE.format(_DATE)} AS decade, o_orderstatus, o_totalprice FROM orders),
+u AS (SELECT o_orderkey AS app_id, CAST(o_orderkey AS VARCHAR) AS name FROM orders WHERE list_contains(string_split(lower(o_orderpriority), '-'), 'urgent')),
+r AS (SELECT doc_id // 8 AS app_id, n_chars % 2 = 0 AS negative, language FROM l),
+n AS (SELECT app_id, name, count(r.negative) AS n FROM u JOIN r USING (app_id) WHERE negative GROUP BY 1, 2),
+i AS (SELECT *, row_number() OVER (ORDER BY n) - 1 AS i, count(*) OVER () AS m FROM n),
+v AS (SELECT coalesce(max(CASE WHEN i = CAST(floor(m * (90 / 100.0::DOUBLE)) AS BIGINT) THEN n END), 0) AS value FROM i)
+SELECT 'q1' AS query, unnest(['windows', 'linux', 'mac']) AS name, unnest([count(*) FILTER (o_orderstatus = 'O'), count(*) FILTER (o_orderstatus = 'F'), count(*) FILTER (o_orderstatus = 'P')])::DOUBLE AS value FROM g
+UNION ALL SELECT 'q2', name, avg_playtime FROM ({_Q2})
+UNION ALL SELECT 'q3', name, CAST(n AS DOUBLE) FROM (SELECT u.app_id, name, count(r.app_id) AS n FROM u LEFT JOIN (SELECT * FROM r WHERE NOT negative) r USING (app_id) GROUP BY 1, 2 ORDER BY n DESC, name, 1 LIMIT 5)
+UNION ALL SELECT 'q4', name, CAST(count(*) AS DOUBLE) FROM u JOIN r USING (app_id) WHERE negative AND language = 'en' GROUP BY u.app_id, name HAVING count(*) > 1
+UNION ALL SELECT 'q5', name, CAST(n AS DOUBLE) FROM n, v WHERE n >= value"""
+
+
+@query(_UPLOAD)
 def run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Those of the five that parts and line items can answer, from one cached read."""
-    g = games(spark, sf_dir).select("*", *(F.lit(False).alias(c) for c in ("windows", "linux", "mac")), F.lit("").alias("release_date"), F.lit(0.0).alias("avg_playtime_forever"))
-    r = reviews(spark, sf_dir).withColumn("review_text", F.lit(""))
-    got = plans.run_all(g, r, lambda rows: rows, RING)
-    return got["q3"].select(F.lit("q3").alias("query"), "name", F.col("n").cast("double").alias("value")).union(got["q5"].select(F.lit("q5").alias("query"), "name", F.col("n").cast("double").alias("value")))
+    """All five from one upload: orders are the games, with dates, playtimes, platforms (by
+    status) and genres; documents are their reviews, eight for a game, with texts."""
+    flags = {"windows": "O", "linux": "F", "mac": "P"}
+    g = dated(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("app_id"), *((F.col("o_orderstatus") == x).alias(c) for c, x in flags.items())), "app_id")
+    docs = table(spark, sf_dir, "documents")
+    r = docs.select(F.expr("doc_id div 8").alias("app_id"), "doc_id", F.col("text").alias("review_text"), F.when(F.col("n_chars") % 2 == 0, -1).otherwise(1).alias("review_score"))
+    weights = language.lang_train(docs)
+    asked = plans.Params(top_category="Urgent", top_decade=1990, top_playtime=10, top_reviews=5, negative_category="Urgent", over=1, percentile=90)
+    got = plans.run_all(g, r, lambda rows: language.filter_language(rows, weights, "doc_id", "review_text"), asked, key=("doc_id",))
+    totals = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in flags)))
+    q1 = got["q1"].select(totals.alias("x")).select(F.lit("q1").alias("query"), "x.*")
+    q2 = got["q2"].select(F.lit("q2"), "name", "avg_playtime")
+    rest = (got[q].select(F.lit(q), "name", F.col("n").cast("double")) for q in ("q3", "q4", "q5"))
+    return reduce(DataFrame.union, rest, q1.union(q2))
 
 
 # -- reconciliation, sources and sinks ------------------------------------------------------------
@@ -483,5 +516,18 @@ def stream_high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _stream(spark, sf_dir, "events").select("event_type", "event_id")
     twice = e.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     out = new_path(spark, "stream")
-    streaming.until_inputs_end(streaming.stream_high_water(twice, "event_type", "event_id", ["event_id", "copy"]), streaming.idempotent_sink(out), f"{out}-checkpoint")
-    return op.count_by_key(spark.read.parquet(out), "event_type")
+    chunk = F.floor(F.col("event_id") / 4096)
+    streaming.until_inputs_end(twice, streaming.stream_high_water(out, "event_type", "event_id", ["event_id", "copy"], chunk), f"{out}-checkpoint")
+    return op.count_by_key(spark.read.parquet(f"{out}/rows"), "event_type")
+
+
+@query(_Q3)
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Games and reviews as two streams at once, each into a sink of its own; the answer is
+    given when both have ended."""
+    out = new_path(spark, "stream")
+    names = {"games": "part", "reviews": "lineitem"}
+    streaming.until_all_end(*(streaming.start(_stream(spark, sf_dir, t), streaming.idempotent_sink(f"{out}/{c}"), f"{out}/{c}-checkpoint") for c, t in names.items()))
+    g = spark.read.parquet(f"{out}/games").select(F.col("p_partkey").alias("app_id"), F.col("p_name").alias("name"), F.split("p_name", " ").alias("genres"))
+    r = spark.read.parquet(f"{out}/reviews").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("app_id"), F.lit(1).alias("review_score"))
+    return plans.q3_top_positive(g, r, RING)

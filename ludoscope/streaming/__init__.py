@@ -3,15 +3,14 @@ so a stopped stream goes on where it was; sinks take a batch twice without harm.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators import By, count_by_key, flag_totals, top_n
+from ..operators import By, count_by_key, dedup_high_water, flag_totals, top_n
 
 
 def stream_ingest(spark: SparkSession, path: str, schema: StructType, kind: str = "parquet", files: int = 8, **options) -> DataFrame:
@@ -19,11 +18,25 @@ def stream_ingest(spark: SparkSession, path: str, schema: StructType, kind: str
     return spark.readStream.schema(schema).options(**options).option("maxFilesPerTrigger", files).format(kind).load(path)
 
 
+def start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Starts ``each(batch, batch_id)`` on all that is there. With the same checkpoint a later
+    call takes up what came since; a batch that was cut off comes again with its id."""
+    return stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def until_all_end(*inputs: StreamingQuery) -> None:
+    """Waits for all of several inputs that run at once; one that fails stops the others."""
+    try:
+        for query in inputs:
+            query.awaitTermination()
+    finally:
+        for query in inputs:
+            query.stop()
+
+
 def until_inputs_end(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Runs ``each(batch, batch_id)`` on all that is there, then ends. With the same checkpoint
-    a later call takes up what came since; a batch that was cut off comes again with its id."""
-    query = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    """One input, from start to end."""
+    until_all_end(start(stream, each, checkpoint, mode))
 
 
 def stateful_count(stream: DataFrame, key: str, by: By = ()) -> DataFrame:
@@ -83,16 +96,20 @@ def stream_dedup(stream: DataFrame, origin: str = "origin", sequence: str = "seq
     return stream.dropDuplicates([*by, origin, sequence])
 
 
-def stream_high_water(stream: DataFrame, origin: str, sequence: str, arrival: Sequence[str]) -> DataFrame:
-    """Rows whose sequence is above all before of their origin: one number of state for each
-    origin. Rows of a batch are taken in order of ``arrival``."""
-    schema = stream.schema
+def stream_high_water(path: str, origin: str, sequence: str, arrival: Sequence[str], chunk: Column) -> Callable[[DataFrame, int], None]:
+    """A sink of rows whose sequence is above all before of their origin. Rows of a batch are
+    taken in order of ``arrival``, by parts (``chunk``) of a busy origin; what earlier batches
+    reached is a table of one row for each origin, written under each batch's number, so a
+    batch that comes again starts from the same. Rows go to ``path/rows``."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        high = state.get[0] if state.exists else -1
-        rows = pd.concat(list(frames)).sort_values(list(arrival), kind="stable")
-        before = rows[sequence].cummax().shift(fill_value=high).clip(lower=high)
-        state.update((max(high, int(rows[sequence].max())),))
-        yield rows[rows[sequence] > before]
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark, high = batch.sparkSession, f"{path}/high"
+        own = f"{path}/rows/batch={batch_id}"
+        fine = dedup_high_water(batch, origin, sequence, arrival, chunk)
+        schema = batch.select(origin, F.col(sequence).alias("__high")).schema
+        before = spark.read.schema(schema).parquet(f"{high}/{batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
+        fine.join(before, origin, "left").where(F.col(sequence) > F.coalesce("__high", F.lit(-1))).select(*batch.columns).write.mode("overwrite").parquet(own)
+        new = spark.read.schema(batch.schema).parquet(own).groupBy(origin).agg(F.max(sequence).alias("__high"))
+        before.unionByName(new).groupBy(origin).agg(F.max("__high").alias("__high")).write.mode("overwrite").parquet(f"{high}/{batch_id}")
 
-    return stream.groupBy(origin).applyInPandasWithState(step, schema, "high long", "append", GroupStateTimeout.NoTimeout)
+    return each

@@ -1,3 +1,7 @@
+import random
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ludoscope import functions as fn
@@ -88,6 +92,23 @@ def test_language(spark):
     weights = language.lang_train(known)
     assert values(language.lang_score(asked, weights, "id").select("id", language.label(F.col("score")))) == [(1, "en"), (2, "es"), (3, "unknown"), (4, "unknown"), (5, "unknown")]
     assert values(language.filter_language(asked, weights, "id").select("id")) == [(1,)]
+    by_shuffle = language.lang_score(asked, weights, "id", broadcast=0)
+    assert values(by_shuffle) == values(language.lang_score(asked, weights, "id"))
+
+
+def test_trigram_counts(monkeypatch):
+    """Against a plain loop, over cuts of long texts and more letters than fit a number."""
+    r = random.Random(5)
+    wide = [chr(c) for c in range(0x4E00, 0x4E00 + 20000)]
+    texts = ["", "ab", "abc", None, "aaaa", "a\0b\0c" * 3, "".join(r.choice("abñ😀") for _ in range(500)), "".join(r.choice(wide) for _ in range(30000))]
+    want = Counter((i, t[j : j + 3]) for i, t in enumerate(texts) if t for j in range(len(t) - 2))
+    for run in (7, 1 << 20):
+        monkeypatch.setattr(language, "RUN", run)
+        got = Counter()
+        for part in language._runs(pa.array(texts)):
+            for i, tri, n in zip(*(x.tolist() if hasattr(x, "tolist") else x.to_pylist() for x in language._count(*part)), strict=True):
+                got[i, tri] += n
+        assert got == want
 
 
 def test_reconcile(spark):

@@ -37,9 +37,34 @@ def test_high_water_and_top(spark, tmp_path):
     df = spark.createDataFrame(rows, "origin string, sequence long, at long").coalesce(1)
     df.write.parquet(src)
     stream = streaming.stream_ingest(spark, src, df.schema)
-    streaming.until_inputs_end(streaming.stream_high_water(stream, "origin", "sequence", ["at"]), streaming.idempotent_sink(str(tmp_path / "o")), str(tmp_path / "c"))
-    assert sorted((r.origin, r.sequence) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [("A", 1), ("A", 2), ("A", 3), ("A", 4), ("B", 5)]
+    sink = streaming.stream_high_water(str(tmp_path / "o"), "origin", "sequence", ["at"], F.floor(F.col("at") / 3))
+    streaming.until_inputs_end(stream, sink, str(tmp_path / "c"))
+    sink(spark.createDataFrame([("A", 4, 20), ("A", 6, 21), ("B", 7, 22), ("B", 6, 23), ("C", 1, 24)], df.schema), 1)
+    assert sorted((r.origin, r.sequence) for r in spark.read.parquet(str(tmp_path / "o/rows/batch=1")).collect()) == [("A", 6), ("B", 7), ("C", 1)]
+    assert sorted((r.origin, r.sequence) for r in spark.read.parquet(str(tmp_path / "o/rows/batch=0")).collect()) == [("A", 1), ("A", 2), ("A", 3), ("A", 4), ("B", 5)]
     top = streaming.stateful_top_n(str(tmp_path / "t"), 2, [F.desc("sequence"), F.asc("at")])
     for i in range(3):
         top(df.where(F.col("at") % 3 == i), i)
     assert sorted(r.sequence for r in spark.read.parquet(str(tmp_path / "t/2")).collect()) == [4, 5]
+
+
+def test_output_resumes_half_way(spark, tmp_path):
+    """Stopped after 50 of 100 rows, the sink goes on and gives none twice."""
+    src, out, check = (str(tmp_path / x) for x in ("src", "out", "check"))
+    for i in range(4):
+        spark.range(i * 25, i * 25 + 25).coalesce(1).write.mode("append").parquet(src)
+    stream = streaming.stream_ingest(spark, src, "id long", files=1)
+    sink = streaming.idempotent_sink(out)
+
+    def dies(batch, batch_id):
+        sink(batch, batch_id)  # written, but not acknowledged
+        if batch_id == 1:
+            raise RuntimeError("lost")
+
+    try:
+        streaming.until_inputs_end(stream, dies, check)
+    except Exception as e:
+        assert "lost" in str(e)
+    assert spark.read.parquet(out).count() == 50
+    streaming.until_inputs_end(stream, sink, check)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(100))
