@@ -83,18 +83,20 @@ def read_ranks(path: str) -> list[bytes]:
 class Encoder:
     """Text to ids and back, for one vocabulary and one pattern. The ids of pre-tokens
     are remembered; those that are new in a batch of texts go to the model together,
-    each by itself."""
+    each by itself. A pre-token that is a token as a whole has that token's id, by the rule
+    of ranks, and needs no model."""
 
     def __init__(self, tokens: list[bytes], pattern: str):
         import regex
         import sentencepiece
 
-        self.tokens = tokens
         self.decimal = [str(i) for i in range(len(tokens))]
         self.whole = {t: (i,) for i, t in enumerate(tokens)}
         self.pattern = regex.compile(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(tokens))
         self.chars = byte_characters()
+        byte = {c: b for b, c in enumerate(self.chars)}
+        self.spelt = [bytes(map(byte.__getitem__, piece)) for piece in self.model.id_to_piece(list(range(len(tokens))))]
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
@@ -137,8 +139,8 @@ class Encoder:
         return ids + self.encode_batch([text[a:]])[0]
 
     def decode(self, ids: list[int]) -> bytes:
-        """The bytes that ids stand for."""
-        return b"".join(map(self.tokens.__getitem__, ids))
+        """The bytes that ids stand for: the model's pieces through the inverse of the byte map."""
+        return b"".join(map(self.spelt.__getitem__, ids))
 
 
 def encoder(tokens: list[bytes], pattern: str, key: tuple) -> Encoder:

@@ -1,13 +1,14 @@
 """Exact top-k inner products by a three-phase uniform threshold (operator 8).
 
 The components of a vector are dealt to a few lists; a score is the sum of the lists'
-partial scores. Phase 1: every block of candidates gives, for each query, the best of
-each list, with their full scores; the k-th best of these is a score that k candidates
-reach, hence a safe cutoff. Phase 2: the cutoff goes to all blocks, and each list gives
-the candidates whose partial score is at least an equal share of it - a candidate with
-none such can't reach the cutoff. Phase 3: the full scores of those are resolved exactly
-and the best k of each query kept. Queries and candidates meet as blocks of bounded
-size, one task for each pair of blocks.
+partial scores. Phase 1: every block of candidates gives, for each query, the best entries
+of each list; the scores of these few are summed up, and the k-th best of them over all
+blocks is a score that k candidates reach, hence a safe cutoff. Phase 2: the cutoff goes to
+all blocks, and each list gives the entries whose partial score is at least an equal share
+of it - a candidate with none such can't reach the cutoff. Phase 3: the partial scores that
+these lack are looked up, and the best k of each query kept. Lists are gone through one
+after the other, and no score is summed up but for entries that a list gave. Queries and
+candidates meet as blocks of bounded size, one task for each pair of blocks.
 """
 
 from __future__ import annotations
@@ -22,21 +23,26 @@ from pyspark.sql import functions as F
 from .common import written
 from .embeddings import usable
 
-#: Queries and candidates in a block.
-QUERIES, CANDIDATES = 1024, 4096
-#: Lists that the components are dealt to.
-LISTS = 4
+#: Queries and candidates in a block; queries of it that are compared at a time.
+QUERIES, CANDIDATES, AT_ONCE = 8192, 4096, 1024
+#: Lists that the components are dealt to. More lists have smaller shares of the cutoff, which
+#: more entries reach: of random vectors, 2,000 candidates and k = 20, two lists give a tenth
+#: of all entries in phase 2, four a half.
+LISTS = 2
 
 
 def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
     """``dim, <name>, <name>_rows``: the rows (``id long, v array<long>``, and ``cutoff long``
-    for queries) of each block of about ``size`` in one binary row for each block."""
+    for queries) of each block of about ``size`` in one binary row for each block, with as
+    many bytes for a component as the block's largest needs."""
     n = rows.groupBy(F.size("v").alias("dim")).count()
     cut = rows.withColumn("dim", F.size("v")).join(n, "dim").withColumn(name, F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / size)).cast("int"))
     extra = ["cutoff"] if "cutoff" in rows.columns else []
 
     def pack(own: pd.DataFrame) -> pd.DataFrame:
-        v = np.array(own["v"].tolist(), dtype=np.int64).tobytes()
+        v = np.array(own["v"].tolist(), dtype=np.int64)
+        kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= v.min(initial=0) and v.max(initial=0) <= np.iinfo(t).max)
+        v = v.astype(kind).tobytes()
         cols = {c: [own[c].to_numpy(dtype=np.int64).tobytes()] for c in ["id", *extra]}
         return pd.DataFrame({"dim": [own["dim"].iloc[0]], name: [own[name].iloc[0]], f"{name}_v": [v], **{f"{name}_{c}": x for c, x in cols.items()}})
 
@@ -53,61 +59,89 @@ def meet(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     return left.join(right, ["dim", "q", "c"])
 
 
-def _matrices(row: dict, lists: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Ids, vectors, and the partial scores of each list, exact as integers."""
-    dim = row["dim"]
-    q, c = (np.frombuffer(row[f"{x}_v"], dtype=np.int64).reshape(-1, dim) if dim else np.zeros((len(row[f"{x}_id"]) // 8, 0), np.int64) for x in "qc")
-    qid, cid = (np.frombuffer(row[f"{x}_id"], dtype=np.int64) for x in "qc")
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(dim, 1)
-    kind = np.float64 if bound < 2**53 else np.int64  # floating point is exact below, and faster
-    cuts = [round(i * dim / lists) for i in range(lists + 1)]
-    parts = [(q[:, a:b].astype(kind) @ c[:, a:b].astype(kind).T).astype(np.int64) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return qid, cid, q, c, parts
-
-
-def local_best(row: dict, k: int, lists: int) -> pd.DataFrame:
-    """Phase 1 for a pair of blocks: candidates among the k best of some list, with full
-    scores; of each query the k best of them."""
-    qid, cid, _, _, parts = _matrices(row, lists)
-    full = sum(parts)
-    own = qid[:, None] == cid[None, :]
-    width = min(k + 1, len(cid))
-    chosen = np.zeros(full.shape, dtype=bool)
-    for p in parts:
-        np.put_along_axis(chosen, np.argpartition(-p, width - 1, axis=1)[:, :width], True, axis=1)
-    low = np.iinfo(np.int64).min
-    score = np.where(chosen & ~own, full, low)
-    best = np.argpartition(-score.astype(np.float64), width - 1, axis=1)[:, :width] if len(cid) > width else np.broadcast_to(np.arange(len(cid)), full.shape)
-    got = np.take_along_axis(score, best, axis=1)
-    q, at = np.nonzero(got > low)
-    return pd.DataFrame({"query_id": qid[q], "vec_id": cid[best[q, at]], "score": got[q, at]})
-
-
-def sufficient(row: dict, k: int, lists: int) -> pd.DataFrame:
-    """Phases 2 and 3 for a pair of blocks: candidates that reach an equal share of the
-    cutoff in some list, resolved exactly; those that reach the cutoff, k at most for each
-    query of those that can't be told apart otherwise (ties to the smaller id)."""
-    qid, cid, _, _, parts = _matrices(row, lists)
-    cutoff = np.frombuffer(row["q_cutoff"], dtype=np.int64)
-    share = np.where(cutoff == np.iinfo(np.int64).min, cutoff, -(-cutoff // lists))  # rounded up: a sum of integers
-    seen = np.zeros((len(qid), len(cid)), dtype=bool)
-    for p in parts:
-        seen |= p >= share[:, None]
-    q, c = np.nonzero(seen & (qid[:, None] != cid[None, :]))
-    score = sum(p[q, c] for p in parts)
-    fine = score >= cutoff[q]
-    out = pd.DataFrame({"query_id": qid[q[fine]], "vec_id": cid[c[fine]], "score": score[fine]})
-    out = out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+def _vectors(row: dict, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and vectors of a block."""
+    ids = np.frombuffer(row[f"{name}_id"], dtype=np.int64)
+    n = len(ids) * row["dim"]
+    return ids, np.frombuffer(row[f"{name}_v"], dtype=f"i{len(row[f'{name}_v']) // n}" if n else "i8").reshape(len(ids), row["dim"])
+
+
+def partial_scores(q: np.ndarray, c: np.ndarray, lists: int) -> Iterator[np.ndarray]:
+    """One list after the other, the partial scores of all queries and candidates, exact."""
+    cuts = [round(i * q.shape[1] / lists) for i in range(lists + 1)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        x, y = q[:, a:b], c[:, a:b]
+        largest = [max(-int(v.min(initial=0)), int(v.max(initial=0))) for v in (x, y)]
+        bound = largest[0] * largest[1] * max(b - a, 1)
+        kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64  # exact below these, and faster
+        yield x.astype(kind) @ y.astype(kind).T
+
+
+def looked_up(q: np.ndarray, c: np.ndarray, lists: int, at: np.ndarray) -> np.ndarray:
+    """The scores of some entries (places in the matrix of all), list by list."""
+    out = np.zeros(len(at), dtype=np.int64)
+    for p in partial_scores(q, c, lists):
+        out += p.ravel()[at].astype(np.int64)
+    return out
+
+
+def best_entries(q: np.ndarray, c: np.ndarray, k: int, lists: int) -> np.ndarray:
+    """Phase 1: places of the ``k`` best entries of each list for each query."""
+    width = min(k, len(c))
+    row = np.arange(len(q))[:, None] * len(c)
+    tops = [np.argpartition(p, len(c) - width, axis=1)[:, len(c) - width :] if width < len(c) else np.broadcast_to(np.arange(len(c)), p.shape) for p in partial_scores(q, c, lists)]
+    return np.unique(np.concatenate([(row + t).ravel() for t in tops]))
+
+
+def sufficient_entries(q: np.ndarray, c: np.ndarray, cutoff: np.ndarray, lists: int) -> np.ndarray:
+    """Phase 2: places of the entries with at least an equal share of the cutoff in some list."""
+    share = np.where(cutoff == np.iinfo(np.int64).min, cutoff, -(-cutoff // lists))[:, None]  # rounded up: a sum of integers
+    seen = np.zeros((len(q), len(c)), dtype=bool)
+    for p in partial_scores(q, c, lists):
+        seen |= p >= share if p.dtype == np.int64 else p >= share.astype(np.float64)  # a rounded share beyond 2^53 is beyond all partial scores too
+    return np.flatnonzero(seen)
+
+
+def _kept(qid: np.ndarray, cid: np.ndarray, at: np.ndarray, score: np.ndarray, k: int) -> pd.DataFrame:
+    """The best ``k`` of each query of these entries, without its own, ties to the smaller id."""
+    a, b = np.divmod(at, max(len(cid), 1))
+    out = pd.DataFrame({"query_id": qid[a], "vec_id": cid[b], "score": score})
+    out = out[out["query_id"] != out["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
     return out.groupby("query_id").head(k)
 
 
+def local_best(row: dict, k: int, lists: int) -> Iterator[pd.DataFrame]:
+    """Phase 1 for a pair of blocks: entries among the best of some list, with their scores;
+    of each query the k best of them. One more than k, since a query may meet itself."""
+    (qid, q), (cid, c) = _vectors(row, "q"), _vectors(row, "c")
+    for i in range(0, len(qid), AT_ONCE):
+        part = slice(i, i + AT_ONCE)
+        at = best_entries(q[part], c, k + 1, lists)
+        yield _kept(qid[part], cid, at, looked_up(q[part], c, lists, at), k)
+
+
+def sufficient(row: dict, k: int, lists: int) -> Iterator[pd.DataFrame]:
+    """Phases 2 and 3 for a pair of blocks: entries that reach an equal share of the cutoff in
+    some list, with what they lack looked up; those that reach the cutoff, k at most for each
+    query."""
+    (qid, q), (cid, c) = _vectors(row, "q"), _vectors(row, "c")
+    cutoff = np.frombuffer(row["q_cutoff"], dtype=np.int64)
+    for i in range(0, len(qid), AT_ONCE):
+        part = slice(i, i + AT_ONCE)
+        at = sufficient_entries(q[part], c, cutoff[part], lists)
+        score = looked_up(q[part], c, lists, at)
+        fine = score >= cutoff[part][at // max(len(cid), 1)]
+        yield _kept(qid[part], cid, at[fine], score[fine], k)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, lists: int = LISTS, query_block: int = QUERIES, candidate_block: int = CANDIDATES) -> DataFrame:
     """``query_id long, rank int, vec_id long, score long``: the k candidates of highest
     integer inner product for each query, ties to the smaller id; all if they are fewer.
 
     ``vectors`` and ``queries`` have ``id long, v array<long>``, no nulls. Candidates of a
     query are the vectors of its length with another id. An id that occurs more than once
-    counts once, with the smallest of its vectors. Empty tables give an empty one.
+    counts once, with the smallest of its vectors. Empty tables give an empty one. Scores
+    are 64-bit integers; where one lies beyond them it is taken modulo 2^64.
     """
     def once(df: DataFrame) -> DataFrame:
         return df.groupBy("id").agg(F.min("v").alias("v"))
@@ -120,7 +154,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, lists: int = LISTS, qu
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for row in frame.to_dict("records"):
-                    yield f(row, k, lists)
+                    yield from f(row, k, lists)
 
         return run
 
@@ -134,6 +168,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, lists: int = LISTS, qu
 
 def scaled(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``id long, v array<long>``: components as floor(scale * x) in double precision; rows
-    whose vector is null or holds null or non-finite components, or whose id is null, go."""
+    whose vector is null or holds null or non-finite components, or whose id is null, go.
+    A component beyond 64 bits becomes the largest or smallest of them."""
     fine = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     return fine.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale)).alias("v"))

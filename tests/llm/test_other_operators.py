@@ -197,6 +197,25 @@ def test_top_k(spark, k, q, c):
     assert topk.top_k(fine.limit(0), fine.limit(0), k).count() == 0
 
 
+@pytest.mark.parametrize("high", [3, 40, 70_000, 2**33, 2**40])
+def test_top_k_phases_look_up_few(high):
+    """The cutoff leaves out most entries, and none of the best; components of any size."""
+    g = np.random.default_rng(4)
+    q, c = (np.floor(g.normal(size=(n, 32)) * high).astype(np.int64) for n in (30, 2000))
+    full = q.astype(object) @ c.T.astype(object)
+    best = np.sort(full, axis=1)[:, -20:]
+    first = topk.best_entries(q, c, 20, topk.LISTS)
+    assert len(first) <= 30 * 20 * topk.LISTS
+    told = topk.looked_up(q, c, topk.LISTS, first)
+    assert [int(x) for x in told] == [(int(x) + 2**63) % 2**64 - 2**63 for x in full.ravel()[first]]
+    if high < 2**33:  # within 64 bits
+        cutoff = np.array([np.sort(told[first // 2000 == i])[-20] for i in range(30)])
+        assert all(cutoff <= best[:, 0])
+        at = topk.sufficient_entries(q, c, cutoff, topk.LISTS)
+        assert len(at) < full.size / 3
+        assert set(np.flatnonzero((full >= best[:, :1]).ravel())) <= set(at)
+
+
 # -- graphs ---------------------------------------------------------------------------------------
 
 
