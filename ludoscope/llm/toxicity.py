@@ -260,8 +260,10 @@ def score_texts(net: Net, texts: list[str]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = (4, 2), most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Net:
-    """The network, trained on at most ``most`` labelled texts outside the held-out part. All
-    those labelled 1 are taken first, then others, so that the rarer label isn't wanting."""
+    """The network, trained on at most ``most`` labelled texts outside the held-out part: a
+    quarter of them labelled 1, or all there are if they are fewer, so that the rarer label
+    isn't wanting, and at most three quarters labelled 0. Of each text 1,024 words in a row
+    are learnt from."""
     rare = picked(labels.where(F.col(label) == 1), label, held_out, most // 4, id_col)
     rest = picked(labels.where(F.col(label) == 0), label, held_out, most - most // 4, id_col)
     mod, rest_of = held_out

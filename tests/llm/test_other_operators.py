@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 
 import numpy as np
@@ -15,6 +16,51 @@ from ludoscope.llm.wording import words
 # -- operators 1 and 3 -----------------------------------------------------------------
 
 
+def test_ftrl_by_hand():
+    """The updates against a loop over single weights."""
+    g = np.random.default_rng(8)
+    examples = [(np.sort(g.choice(12, 4, replace=False)), g.random(4), int(g.random() < 0.5)) for _ in range(60)]
+    alpha, beta, l1, l2 = 0.7, 1.5, 0.05, 0.2
+    got = quality.ftrl(examples, 12, 3, alpha, beta, l1, l2)
+    z, n = [0.0] * 13, [0.0] * 13
+
+    def weight(i):
+        sign = (z[i] > 0) - (z[i] < 0)
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - sign * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(3):
+        for at, x, y in examples:
+            pairs = [*zip(map(int, at), map(float, x), strict=True), (12, 1.0)]
+            w = {i: weight(i) for i, _ in pairs}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in pairs)))
+            for i, v in pairs:
+                step = (p - y) * v
+                sigma = ((n[i] + step * step) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += step - sigma * w[i]
+                n[i] += step * step
+    assert np.allclose(got, [weight(i) for i in range(13)], atol=1e-5)
+    assert any(got)
+
+
+def test_score_texts_window_by_window():
+    """All windows of all texts at once against each window as a text of its own."""
+    net = toxicity.new_net()
+    g = np.random.default_rng(3)
+    for k, v in net.items():
+        net[k] = (v + g.normal(size=v.shape) * 0.2).astype(v.dtype)
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["stone", "river", "Cloud", "wal", "seven", "idiot", "zzz"]) for _ in range(n)) for n in (1, 5, 15, 16, 17, 24, 25, 40, 333)]
+    got = toxicity.score_texts(net, texts)
+    for text, score in zip(texts, got, strict=True):
+        w = text.split()
+        starts = [0]
+        while starts[-1] + toxicity.WINDOW < len(w):
+            starts.append(starts[-1] + toxicity.STEP)
+        one = [toxicity.score_texts(net, [" ".join(w[a : a + toxicity.WINDOW])])[0] for a in starts]
+        assert abs(max(one) - score) < 1e-3
+    assert len(set(np.round(got, 4))) > 5
+
+
 def made_texts(spark, bad, n=240):
     r = random.Random(6)
     rows, labels = [], []
