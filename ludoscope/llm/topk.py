@@ -26,7 +26,7 @@ from .embeddings import usable
 #: Queries and candidates in a block; queries of it that are compared at a time.
 QUERIES, CANDIDATES, AT_ONCE = 8192, 4096, 1024
 #: Lists that the components are dealt to. More lists have smaller shares of the cutoff, which
-#: more entries reach: of random vectors, 2,000 candidates and k = 20, two lists give a tenth
+#: more entries reach: of random vectors, 2,000 candidates and k = 20, two lists give a sixth
 #: of all entries in phase 2, four a half.
 LISTS = 2
 
