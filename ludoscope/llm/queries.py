@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, lines, packing, quality, simhash, substrings, topk, toxicity, warc
+from . import bpe, embeddings, lines, manifest, packing, quality, simhash, substrings, topk, toxicity, warc
 from .common import table
 
 #: Fixed by the contract of operators 9 and 10: the vocabularies and the split pattern.
@@ -63,8 +63,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(CODEC_VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.prove_tampered(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_warc_round_trip, op3_toxicity, op4_line_dedup, op5_substring_dedup, op6_simhash_near_dedup, op7_embedding_near_dedup, op8_exact_top_k, op9_best_fit_packing, op10_byte_bpe)
+    for f in (op1_quality_classifier, op2_warc_round_trip, op3_toxicity, op4_line_dedup, op5_substring_dedup, op6_simhash_near_dedup, op7_embedding_near_dedup, op8_exact_top_k, op9_best_fit_packing, op10_byte_bpe, op11_merkle_manifest)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": manifest.tampered_sql()}
