@@ -135,15 +135,15 @@ def _left(level: int) -> Column:
     return F.expr(f"(total + {FAN**level - 1}L) div {FAN**level}L")
 
 
-def _levels(total: int, level: int) -> int:
+def _levels(total: int, level: int, band: int) -> int:
     """Levels that are climbed from ``level`` inside its band: up to where one node remains."""
     n, up = -(-total // FAN**level), 0
-    while n > 1 and up < BAND:
+    while n > 1 and up < band:
         n, up = -(-n // FAN), up + 1
     return up
 
 
-def sweep_up(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def sweep_up(nodes: DataFrame, band: int = BAND) -> tuple[list[DataFrame], DataFrame]:
     """From ``tree, total, at, digest`` (others are kept): the nodes at which each band begins,
     and ``tree, total, digest`` of what remains of each tree."""
 
@@ -151,18 +151,18 @@ def sweep_up(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         def one(own: pd.DataFrame) -> pd.DataFrame:
             own = own.sort_values("at")
             total = int(own["total"].iloc[0])
-            top, _ = forward([d.hex() for d in own["digest"]], _levels(total, level))
-            return pd.DataFrame({"tree": [own["tree"].iloc[0]], "total": [total], "at": [own["at"].iloc[0] // FAN**BAND], "digest": [bytes.fromhex(top)]})
+            top, _ = forward([d.hex() for d in own["digest"]], _levels(total, level, band))
+            return pd.DataFrame({"tree": [own["tree"].iloc[0]], "total": [total], "at": [own["at"].iloc[0] // FAN**band], "digest": [bytes.fromhex(top)]})
 
         return one
 
     bands, tops, level = [nodes], [nodes.where(_left(0) == 1)], 0
     most = nodes.agg(F.max("total")).first()[0] or 0
     while most > FAN**level:
-        block = F.expr(f"at div {FAN**BAND}").alias("block")
+        block = F.expr(f"at div {FAN**band}").alias("block")
         waiting = bands[-1].where(_left(level) > 1).select("tree", "total", "at", "digest", block)
         got = written(waiting.groupBy("tree", "block").applyInPandas(climb(level), "tree string, total long, at long, digest binary"), "manifest-queue")
-        level += BAND
+        level += band
         bands.append(got)
         tops.append(got.where(_left(level) == 1))
     return bands, reduce(DataFrame.union, (t.select("tree", "total", "digest") for t in tops))
@@ -179,7 +179,7 @@ def _linked(lefts: Sequence[str], rights: Sequence[str]) -> Suffix:
     return suffix
 
 
-def sweep_down(bands: list[DataFrame], starts: DataFrame, proofs: bool | None = None) -> DataFrame:
+def sweep_down(bands: list[DataFrame], starts: DataFrame, proofs: bool | None = None, band: int = BAND) -> DataFrame:
     """From ``tree, total, subroot, root, lefts, rights`` at what remains of each tree down to
     the nodes that :func:`sweep_up` began with. Those get their suffixes, under their
     ``name`` as a tree; with ``proofs`` given, they are leaves (``doc_id``, ``changed``) and
@@ -188,7 +188,7 @@ def sweep_down(bands: list[DataFrame], starts: DataFrame, proofs: bool | None =
     def sweep(level: int, last: bool):
         def one(own: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
             own, above = own.sort_values("at"), above.iloc[0]
-            levels = _levels(int(own["total"].iloc[0]), level)
+            levels = _levels(int(own["total"].iloc[0]), level, band)
             nodes = [d.hex() for d in own["digest"]]
             suffixes = backward(forward(nodes, levels)[1], levels, _linked(above["lefts"], above["rights"]))
             if last and proofs is not None:
@@ -207,11 +207,11 @@ def sweep_down(bands: list[DataFrame], starts: DataFrame, proofs: bool | None =
 
     delivered: DataFrame | None = None
     for b in reversed(range(max(len(bands) - 1, 1))):
-        level, last = b * BAND, b == 0
-        here = _left(level + BAND) == 1
+        level, last = b * band, b == 0
+        here = _left(level + band) == 1
         first = starts.where(here if last else here & (_left(level) > 1)).select("tree", F.lit(0).cast("long").alias("block"), "subroot", "root", "lefts", "rights")
         above = first if delivered is None else first.union(delivered)
-        own = (bands[b] if last else bands[b].where(_left(level) > 1)).withColumn("block", F.expr(f"at div {FAN**BAND}"))
+        own = (bands[b] if last else bands[b].where(_left(level) > 1)).withColumn("block", F.expr(f"at div {FAN**band}"))
         pairs = own.groupBy("tree", "block").cogroup(above.groupBy("tree", "block"))
         delivered = pairs.applyInPandas(sweep(level, last), _PROVED if last and proofs is not None else _SUFFIX)
         if not last:
@@ -228,7 +228,7 @@ def siblings_of(suffix: Suffix, side: int) -> list[str]:
     return out
 
 
-def prove(docs: DataFrame, columns: Sequence[str], tree: str = "lang", id_col: str = "doc_id", changed: Column | None = None, proofs: bool = False) -> DataFrame:
+def prove(docs: DataFrame, columns: Sequence[str], tree: str = "lang", id_col: str = "doc_id", changed: Column | None = None, proofs: bool = False, band: int = BAND) -> DataFrame:
     """Digests of all rows up to one root, and each row's proof checked against it.
 
     ``columns`` are the values of a leaf in order; ``changed`` is the digest of what a row is
@@ -245,23 +245,23 @@ def prove(docs: DataFrame, columns: Sequence[str], tree: str = "lang", id_col: s
     none = F.lit(None).cast("binary")
     rows = docs.select(named.alias("tree"), F.col(id_col).cast("long").alias("doc_id"), leaf([F.col(c) for c in columns]).alias("digest"), (none if changed is None else changed).alias("changed"))
     leaves = written(placed(written(rows, "manifest-leaves"), "tree", ["doc_id", "digest"]), "manifest-placed")
-    bands, tops = sweep_up(leaves)
+    bands, tops = sweep_up(leaves, band)
     trees = written(placed(tops.select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("total").alias("leaves"), "digest"), "tree", ["name"]), "manifest-trees")
-    over, root = sweep_up(trees)
+    over, root = sweep_up(trees, band)
     none_above = F.array().cast("array<string>")
     starts = root.select("tree", "total", F.lit("").alias("subroot"), F.lower(F.hex("digest")).alias("root"), none_above.alias("lefts"), none_above.alias("rights"))
-    below = sweep_down(over, starts)
+    below = sweep_down(over, starts, band=band)
     below = written(below.join(trees.select(F.col("name").alias("tree"), F.col("leaves").alias("total")), "tree"), "manifest-suffixes")
-    got = sweep_down(bands, below, proofs)
+    got = sweep_down(bands, below, proofs, band)
     return got if proofs else got.drop("proof")
 
 
-def prove_tampered(docs: DataFrame) -> DataFrame:
+def prove_tampered(docs: DataFrame, band: int = BAND) -> DataFrame:
     """:func:`prove` for documents, of which those whose id's crc32 is divisible by 3 are
     checked with the A-Z of their texts in lower case."""
     columns = ["doc_id", "source", "lang", "n_chars", "text"]
     tampered = leaf([lowered(F.col(c)) if c == "text" else F.col(c) for c in columns])
-    return prove(docs, columns, changed=F.when(remainder("doc_id", 3) == 0, tampered))
+    return prove(docs, columns, changed=F.when(remainder("doc_id", 3) == 0, tampered), band=band)
 
 
 # -- the same in SQL -----------------------------------------------------------------------
