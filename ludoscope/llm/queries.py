@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dialogue, embeddings, lines, manifest, packing, quality, simhash, substrings, topk, toxicity, warc
+from . import bpe, dialogue, embeddings, lines, manifest, packing, personal, quality, simhash, substrings, topk, toxicity, warc
 from .common import table
 
 #: Fixed by the contract of operators 9 and 10: the vocabularies and the split pattern.
@@ -71,8 +71,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair(dialogue.damage(table(spark, sf_dir, "conversations")))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_warc_round_trip, op3_toxicity, op4_line_dedup, op5_substring_dedup, op6_simhash_near_dedup, op7_embedding_near_dedup, op8_exact_top_k, op9_best_fit_packing, op10_byte_bpe, op11_merkle_manifest, op12_conversation_repair)
+    for f in (op1_quality_classifier, op2_warc_round_trip, op3_toxicity, op4_line_dedup, op5_substring_dedup, op6_simhash_near_dedup, op7_embedding_near_dedup, op8_exact_top_k, op9_best_fit_packing, op10_byte_bpe, op11_merkle_manifest, op12_conversation_repair, op13_personal_data)
 }
 ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": manifest.tampered_sql()}

@@ -6,10 +6,11 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ludoscope.llm import dialogue, manifest
+from ludoscope.llm import dialogue, manifest, personal
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string"
 
@@ -198,3 +199,126 @@ def test_repair_of_tables(spark):
     gone = next(i for i in range(1000) if zlib.crc32(f"{i}:0".encode()) % 20 == 0)
     alone = spark.createDataFrame([(gone, 0, "user", "Hm.")], "conv_id long, turn long, role string, text string")
     assert tuple(dialogue.repair(dialogue.damage(alone)).first()) == (gone, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+
+
+# -- personal data ------------------------------------------------------------------------------
+
+#: The contract's patterns, as they stand there.
+PATTERNS = (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    r"[0-9]([\x20-]?[0-9])+",
+    r"\+[0-9][\x20().0-9-]+[0-9]",
+)
+
+
+def rules_by_hand(text):
+    out = []
+    for kind, pattern in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m.group() if c in "0123456789"]
+            if kind == 1 and any(int(p) > 255 for p in m.group().split(".")):
+                continue
+            if kind == 2:
+                doubled = [d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(reversed(digits))]
+                if not 16 <= len(digits) <= 19 or sum(doubled) % 10:
+                    continue
+            if kind == 3 and not 8 <= len(digits) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+def test_rules():
+    rng = random.Random(8)
+    seen = [0, 0, 0, 0]
+    for alphabet in ("0123456789.", "ab@.-", "a1.@+- ", "0123456789 -", "+1 ().-9", "é1@.ü4 "):
+        for _ in range(1500):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))
+            got = personal.by_rules(text)
+            assert got == rules_by_hand(text), text
+            for k, _, _ in got:
+                seen[k] += 1
+    assert min(seen) > 5
+    for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 100_000, "+1" + " " * 300_000, "@" * 300_000, "1 " * 100_000):
+        personal.by_rules(text)  # each run is gone through once: no quadratic time
+
+
+def field(held, joined, equal, similar, inputs=None):
+    n = len(held)
+    doc = np.zeros(n, dtype=np.int64)
+    return personal.Field.of(doc, np.array(inputs or [1] * n), np.array(held), np.array(joined), np.array(equal), np.array(similar))
+
+
+def exact(f, w):
+    """Chances of the labels by going through all assignments of tokens and hubs."""
+    n, hubs, more = len(f.held), f.equal.max() + 1, f.similar.max() + 1
+    total = np.zeros((n, personal.LABELS))
+    for ys in itertools.product(range(personal.LABELS), repeat=n + hubs + more):
+        if any(h and h != y for h, y in zip(f.held, ys)):
+            continue
+        if any(h and k >= 0 and ys[at + k] != h for at, hub in ((n, f.equal), (n + hubs, f.similar)) for h, k in zip(f.held, hub)):
+            continue
+        score = sum(f.inputs[i] @ w.inputs[:, ys[i]] for i in range(n) if not f.held[i])
+        for i in range(n):
+            score += w.next[ys[i - 1] if f.joined[i] else 0, ys[i]]
+            if i + 1 == n or not f.joined[i + 1]:
+                score += w.next[ys[i], 0]
+            score += w.equal[ys[n + f.equal[i]], ys[i]] if f.equal[i] >= 0 else 0
+            score += w.similar[ys[n + hubs + f.similar[i]], ys[i]] if f.similar[i] >= 0 else 0
+        for i in range(n):
+            total[i, ys[i]] += np.exp(score)
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_messages_are_exact_without_loops():
+    rng = np.random.default_rng(1)
+    w = personal.Weights(rng.normal(size=(personal.INPUTS, 5)), *(rng.normal(size=(5, 5)) for _ in range(3)))
+    for held, joined, equal, similar in (
+        ([0, 0, 0, 0], [False, True, True, False], [0] * 4, [0] * 4),
+        ([2, 0, 0, 0], [False, False, False, True], [9, 9, 9, 0], [0] * 4),
+        ([0, 3, 0], [False, False, False], [5, 5, 0], [0, 6, 6]),
+    ):
+        f = field(held, joined, equal, similar)
+        assert np.allclose(personal.beliefs(f, w), exact(f, w), atol=1e-6)
+    f = field([1, 0, 0], [False, False, True], [4, 4, 4], [0, 0, 0])  # a loop: near, and the same order
+    w = personal.Weights(w.inputs / 4, *(x / 4 for x in (w.next, w.equal, w.similar)))
+    assert np.abs(personal.beliefs(f, w) - exact(f, w)).max() < 0.02
+
+
+CARD, PLAIN = "4539578763621486", "4539578763621487"  # passes the check sum, and doesn't
+
+
+def test_find(spark):
+    rng = random.Random(9)
+    filler = ["the of and erst", "Que la.", "x 12 y", f"id {PLAIN}", "in 2024, 555-1234"]
+
+    def some():
+        return [f"me.{rng.randrange(100, 999)}@mail{rng.randrange(9)}.example.com", ".".join(str(rng.randrange(256)) for _ in range(4)), f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"]
+
+    docs = [f"{rng.choice(filler)} {rng.choice(some())} {rng.choice(filler)}" for _ in range(120)] + [f"pay {CARD} now", None, "", "é" * 70_000 + f" {CARD}"]
+    told = {
+        "write joe.77@mail1.example.com or to joe.77, says Joe.77!": ["joe.77@mail1.example.com", "joe.77", "Joe.77"],
+        "at 10.20.30.40 and 10-20-30-40 but not 10-20-30-41": ["10.20.30.40", "10-20-30-40"],
+        "call +1 (743) 555-3824, again (743) 555-3824 or 743-555-3824": ["+1 (743) 555-3824", "(743) 555-3824", "743-555-3824"],
+        f"card {CARD}; 4539.5787.6362.1486; no {PLAIN}": [CARD, "4539.5787.6362.1486"],
+        f"no {PLAIN} here, {PLAIN} there, 743-555-3824": [],
+    }
+    rows = [(i if t is not None else None, t, "x", 0) for i, t in enumerate([*docs, *told])] + [(0, docs[0], "y", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kinds string, start int").repartition(3)
+    got = personal.find(df)
+    assert got.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    got = got.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = (docs + list(told))[r.doc_id] if r.doc_id is not None else ""
+        base = rules_by_hand(text)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in base) for x in range(4)]
+        assert r.base_sha256 == hashlib.sha256(personal.written_out(base).encode()).hexdigest()
+        if text in told:
+            assert [text[int(a) : int(b)] for _, a, b in (x.split(":") for x in r.spans.split(",") if x)] == told[text], r.spans
+        else:
+            assert r.spans == personal.written_out(base), text
+    assert personal.find(df.limit(0)).collect() == []
+    nothing = spark.createDataFrame([(1, "no 743-555-3824")], "doc_id long, text string")
+    assert personal.find(nothing).first().spans == ""
