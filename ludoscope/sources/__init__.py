@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import parse_bool, parse_float, parse_int, parse_list
+from . import quoted
 
 #: Fixed layout of the two inputs, in the order of their fields.
 GAME_FIELDS = (
@@ -28,9 +29,9 @@ REVIEWS = T.StructType([T.StructField(c, T.StringType()) for c in REVIEW_FIELDS]
 
 def _read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """Text columns of a CSV with a header line of any content; quoted fields may hold line
-    breaks and doubled quotes. Empty fields, and those a short row lacks, are empty text."""
-    options = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "enforceSchema": True}
-    return spark.read.schema(schema).options(**options).csv(path).na.fill("")
+    breaks and doubled quotes. Empty fields, and those a short row lacks, are empty text. Many
+    tasks read a file, which is gone through once, for its quotes, when this is called."""
+    return quoted.read(spark, path, schema).na.fill("")
 
 
 def read_games(spark: SparkSession, path: str | list[str]) -> DataFrame:

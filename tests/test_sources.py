@@ -1,6 +1,9 @@
+import random
+
 import pytest
 
 from ludoscope import sources
+from ludoscope.sources import quoted
 
 
 @pytest.fixture
@@ -35,3 +38,50 @@ def test_results(spark, tmp_path):
         sources.write_results_csv(rows, out)
     got = sources.read_results_csv(spark, out, "name string, playtime string, n string, job_id string")
     assert sorted(map(tuple, got.collect())) == [("a", "1.500000", "3", "j1"), ("b", "2.000000", "4", "j2")]
+
+
+def _field(rng):
+    text = "".join(rng.choice('ab ,"\né') for _ in range(rng.randrange(14)))
+    kind = rng.random()
+    if kind < 0.6:
+        return '"' + text.replace('"', '""') + '"'
+    return 'x"y' if kind < 0.7 else "".join(c for c in text if c not in ',"\n').strip() or "z"
+
+
+@pytest.mark.parametrize("size", [9, 60, 700])
+def test_quoted_csv_in_ranges(spark, tmp_path, size):
+    """Every border lies anywhere: in quotes, between doubled quotes, in the header, at a line's end."""
+    rng = random.Random(size)
+    paths = []
+    for i in range(2):
+        rows = [",".join(_field(rng) for _ in range(rng.choice([5, 5, 5, 4, 6]))) for _ in range(25 if size < 10 else 80)]
+        paths.append(str(tmp_path / f"{i}.csv"))
+        with open(paths[-1], "w") as f:
+            f.write('h,"a\nbcdefghijklmnopq",c,d,e\n' + "\n".join(rows) + "\n" * i)
+    want = spark.read.schema(sources.REVIEWS).options(header=True, quote='"', escape='"', multiLine=True, enforceSchema=True).csv(paths).na.fill("")
+    want = sorted(map(repr, want.collect()))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = sources.read_reviews(spark, paths)
+        assert got.columns == sources.REVIEW_FIELDS
+        assert sorted(map(repr, got.collect())) == want
+        assert spark.read.text(paths).select("value").withColumn("p", quoted.F.spark_partition_id()).select("p").distinct().count() > 3
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_quoted_csv_of_little(spark, tmp_path):
+    (tmp_path / "reviews.csv").write_text("")
+    (tmp_path / "more_reviews.csv").write_text("only,a,header,is,here")
+    (tmp_path / "open_reviews.csv").write_text('a,b,c,d,e\n\n1,n,"never\nclosed,1,2\n')
+    (tmp_path / "dos_reviews.csv").write_bytes(b'a,b,c,d,e\r\n2,n,"x\r\ny",1,2\r\n\r\n')
+
+    def rows(name):
+        return [tuple(r) for r in sources.read_reviews(spark, str(tmp_path / name)).collect()]
+
+    assert rows("reviews.csv") == rows("more_reviews.csv") == []
+    assert rows("open_reviews.csv") == [("1", "n", "never\nclosed,1,2", "", "")]
+    assert [(r[0], r[2].replace("\r", ""), r[3], r[4]) for r in rows("dos_reviews.csv")] == [("2", "x\ny", "1", "2")]
