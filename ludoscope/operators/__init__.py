@@ -4,6 +4,8 @@ as a job's, that keep several uploads apart: they lead every group, join and ran
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,14 +94,15 @@ def dedup_high_water(log: DataFrame, origin: str, sequence: str, arrival: Sequen
 
     ``chunk`` is a coarse part of the arrival order, such as the hour: what came before is
     the highest of earlier chunks, from a small table, and of earlier rows in the chunk, so
-    the rows of one busy origin are spread over as many tasks as it has chunks.
+    the rows of one busy origin are spread over as many tasks as it has chunks. Null origins
+    and chunks are an origin and a chunk.
     """
     rows = log.withColumn("__chunk", chunk)
     keys = [*by, origin]
     earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    highest = rows.groupBy(*keys, "__chunk").agg(F.max(sequence).alias("__high")).select(*keys, "__chunk", F.max("__high").over(earlier).alias("__before"))
+    highest = rows.groupBy(*keys, "__chunk").agg(F.max(sequence).alias("__high")).select(*(F.col(k).alias(f"__key{i}") for i, k in enumerate([*keys, "__chunk"])), F.max("__high").over(earlier).alias("__before"))
     inside = Window.partitionBy(*keys, "__chunk").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
-    marked = rows.withColumn("__inside", F.max(sequence).over(inside)).join(highest, [*keys, "__chunk"])
+    marked = rows.withColumn("__inside", F.max(sequence).over(inside)).join(highest, reduce(and_, (F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate([*keys, "__chunk"]))))
     seen = F.coalesce(F.greatest("__before", "__inside"), F.lit(-1))
     return marked.where(F.col(sequence) > seen).select(*log.columns)
 

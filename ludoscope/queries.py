@@ -19,6 +19,7 @@ from . import plans, sources, streaming
 from .operators import language, reconcile
 from .scratch import new_path
 from .shipping import ship
+from .streaming import keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -531,3 +532,40 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = spark.read.parquet(f"{out}/games").select(F.col("p_partkey").alias("app_id"), F.col("p_name").alias("name"), F.split("p_name", " ").alias("genres"))
     r = spark.read.parquet(f"{out}/reviews").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("app_id"), F.lit(1).alias("review_score"))
     return plans.q3_top_positive(g, r, RING)
+
+
+def _in_batches(rows: DataFrame, batches: int = 4) -> DataFrame:
+    """The rows as a stream of so many batches."""
+    path = new_path(rows.sparkSession, "batches")
+    rows.repartition(batches).write.parquet(path)
+    return streaming.stream_ingest(rows.sparkSession, path, rows.schema, files=1)
+
+
+@query(_Q3)
+def stream_q3_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of reviews in several batches; each writes the counts that it changed."""
+    r = _in_batches(reviews(spark, sf_dir).where("review_score > 0").select("app_id"))
+    out, own = new_path(spark, "stream"), op.filter_genre(games(spark, sf_dir), "ring")
+    streaming.until_inputs_end(streaming.stateful_count(r, "app_id"), keyed.keyed_join_count(own, "app_id", ["app_id", "name"], out, 16), f"{out}-checkpoint", "update")
+    counted = keyed.keyed_counts(own, "app_id", ["app_id", "name"], out, 16)
+    return op.top_n(counted, 5, [F.desc("n"), F.asc("name"), F.asc("app_id")]).select("name", "n")
+
+
+@query("SELECT l_partkey AS app_id, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, app_id LIMIT 5")
+def stream_top_changing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest counts kept up while they change from batch to batch."""
+    counts = streaming.stateful_count(_in_batches(reviews(spark, sf_dir).select("app_id")), "app_id")
+    out = new_path(spark, "stream")
+    top = keyed.MaintainedTop(spark, out, 5, counts.schema, "app_id")
+    streaming.until_inputs_end(counts, top.each, f"{out}-checkpoint", "update")
+    return top.read()
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_high_water_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events, each sent twice, kept by the highest sequence of each origin, one number each."""
+    e = table(spark, sf_dir, "events").select("event_type", "event_id")
+    out = new_path(spark, "stream")
+    twice = streaming.stream_ingest(spark, f"{sf_dir}/events.parque[t]", table(spark, sf_dir, "events").schema, files=1).select(*e.columns).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    streaming.until_inputs_end(twice, keyed.high_water(out, "event_type", "event_id", ["event_id", "copy"], F.floor(F.col("event_id") / 4096)), f"{out}-checkpoint")
+    return op.count_by_key(spark.read.parquet(f"{out}/rows"), "event_type")

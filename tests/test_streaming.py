@@ -1,6 +1,10 @@
+import os
+import random
+
 from pyspark.sql import functions as F
 
-from ludoscope import streaming
+from ludoscope import store, streaming
+from ludoscope.streaming import keyed
 
 
 def test_restart_goes_on(spark, tmp_path):
@@ -68,3 +72,88 @@ def test_output_resumes_half_way(spark, tmp_path):
     assert spark.read.parquet(out).count() == 50
     streaming.until_inputs_end(stream, sink, check)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(100))
+
+
+def _files(path):
+    return {os.path.join(d, n): os.path.getmtime(os.path.join(d, n)) for d, _, names in os.walk(path) for n in names if n.startswith("part-")}
+
+
+def test_keyed_counts_write_what_changed(spark, tmp_path):
+    path = str(tmp_path / "k")
+    static = spark.range(200).select(F.col("id").alias("key"), F.concat(F.lit("n"), "id").alias("name"))
+
+    def counts(*rows):
+        return spark.createDataFrame(list(rows), "key long, n long")
+
+    def told():
+        return {r.name: r.n for r in keyed.keyed_counts(static, "key", ["name"], path, 8).collect()}
+
+    each = keyed.keyed_join_count(static, "key", ["name"], path, 8)
+    each(counts((3, 2), (5, 1), (900, 4)), 0)
+    want = {f"n{i}": 0 for i in range(200)} | {"n3": 2, "n5": 1}
+    assert told() == want
+    before = _files(f"{path}/rows")
+    each(counts((7, 6)), 1)  # one key: one file, in one bucket
+    new = set(_files(f"{path}/rows")) - set(before)
+    assert len(new) == 1 and "/batch=1/bucket=" in new.pop()
+    assert told() == want | {"n7": 6}
+    manifest = store.read_text(spark, f"{path}/manifests/1.json")
+    each(counts((7, 6)), 1)  # again
+    assert told() == want | {"n7": 6} and store.read_text(spark, f"{path}/manifests/1.json") == manifest
+    each(counts(), 2)
+    for i in range(3, 9):
+        each(counts((7, 6 + i), (i, 1)), i)
+    assert told() == want | {"n7": 14} | {f"n{i}": 1 for i in (4, 5, 6, 8)} | {"n3": 1}
+    assert len(_files(f"{path}/rows")) <= 8 + 4  # old versions go
+
+
+def test_half_a_batch_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "k")
+    rows = keyed.KeyedTable(spark, path, ["key"], "key long, n long", 4)
+    rows.change(0, spark.createDataFrame([(1, 1), (None, 2)], "key long, n long"), lambda _, new: new)
+    spark.createDataFrame([(1, 99, 0)], "key long, n long, bucket int").write.partitionBy("bucket").parquet(f"{path}/rows/batch=1")  # no manifest yet
+    assert sorted(map(tuple, rows.read().collect()), key=repr) == [(1, 1), (None, 2)]
+
+
+def test_top_of_changing_counts(spark, tmp_path):
+    """After each of 20 batches the same as a full sort, also when counts fall."""
+    rng = random.Random(2)
+    top = keyed.MaintainedTop(spark, str(tmp_path / "t"), 3, "key long, n long", "key", slack=2)
+    now = {}
+    for batch in range(20):
+        changed = {rng.randrange(60): rng.randrange(100) for _ in range(rng.choice([0, 2, 12]))}
+        if batch % 5 == 4:  # all that lead fall
+            changed |= {k: 0 for k in sorted(now, key=lambda k: -now[k])[:5]}
+        now |= changed
+        df = spark.createDataFrame(list(changed.items()), "key long, n long")
+        for _ in range(1 + (batch % 7 == 3)):  # sometimes twice
+            top.each(df, batch)
+        want = sorted(now.items(), key=lambda x: (-x[1], x[0]))[:3]
+        assert [tuple(r) for r in top.read().collect()] == want, batch
+        assert spark.read.parquet(str(tmp_path / f"t/candidates/batch={batch}")).count() <= 7  # n * slack, and the bound
+    assert 0 < top.repairs < 8
+
+
+def test_high_water_by_key(spark, tmp_path):
+    src = str(tmp_path / "src")
+    rows = [("A", s, i) for i, s in enumerate([1, 2, 2, 3, 3, 3, 1, 4])] + [("B", 5, 8), ("B", 4, 9), (None, 1, 10), (None, 1, 11)]
+    df = spark.createDataFrame(rows, "origin string, sequence long, at long").coalesce(1)
+    df.write.parquet(src)
+    sink = keyed.high_water(str(tmp_path / "o"), "origin", "sequence", ["at"], F.floor(F.col("at") / 3), 4)
+
+    def run():
+        streaming.until_inputs_end(streaming.stream_ingest(spark, src, df.schema), sink, str(tmp_path / "c"))
+
+    def told(batch):
+        return sorted(((r.origin, r.sequence) for r in spark.read.parquet(str(tmp_path / f"o/rows/batch={batch}")).collect()), key=repr)
+
+    run()
+    assert told(0) == [("A", 1), ("A", 2), ("A", 3), ("A", 4), ("B", 5), (None, 1)]
+    more = spark.createDataFrame([("A", 4, 20), ("A", 6, 21), ("B", 7, 22), ("B", 6, 23), ("C", 1, 24), (None, 1, 25)], df.schema).coalesce(1)
+    more.write.mode("append").parquet(src)
+    run()  # a restart goes on from the state
+    assert told(1) == [("A", 6), ("B", 7), ("C", 1)]
+    sink(more, 1)  # the batch again
+    assert told(1) == [("A", 6), ("B", 7), ("C", 1)]
+    state = keyed.KeyedTable(spark, str(tmp_path / "o/high"), ["origin"], "origin string, __high long", 4)
+    assert sorted(map(tuple, state.read().collect()), key=repr) == [("A", 6), ("B", 7), ("C", 1), (None, 1)]
