@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def array_contains_ci(values: Column, wanted: str) -> Column:
+def array_contains_ci(values: Column, wanted: str | Column) -> Column:
     """True if some whole element equals ``wanted`` whatever its case; nothing is trimmed.
     False for a null array and for arrays without it, null elements included."""
-    return F.coalesce(F.exists(values, lambda x: F.coalesce(F.lower(x) == wanted.lower(), F.lit(False))), F.lit(False))
+    low = F.lit(wanted.lower()) if isinstance(wanted, str) else F.lower(wanted)
+    return F.coalesce(F.exists(values, lambda x: F.coalesce(F.lower(x) == low, F.lit(False))), F.lit(False))
 
 
 def array_contains(values: Column, wanted) -> Column:
@@ -44,9 +45,10 @@ def extract_decade(text: Column) -> Column:
     return F.coalesce((F.floor(year / 10) * 10).cast("int"), F.lit(0))
 
 
-def quantile_index(n: Column, percentile: float) -> Column:
+def quantile_index(n: Column, percentile: float | Column) -> Column:
     """The zero-based place of a percentile among n ordered values, cut off to an integer."""
-    return F.floor(n.cast("double") * F.lit(percentile / 100.0)).cast("long")
+    share = percentile.cast("double") / 100.0 if isinstance(percentile, Column) else F.lit(percentile / 100.0)
+    return F.floor(n.cast("double") * share).cast("long")
 
 
 def polarity(score: Column, positive: bool) -> Column:

@@ -14,6 +14,19 @@ from ..functions import array_contains_ci, extract_decade, polarity, quantile_in
 
 By = Sequence[str]
 
+#: Parts that the distinct values of a quantile are dealt into; one of them is looked through.
+PARTS = 256
+
+
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on keys of both sides, nulls equal, with the left side's keys; without keys each
+    row meets each, for a side of one row."""
+    if not keys:
+        return left.join(right, how="cross")
+    named = {k: f"__right{i}" for i, k in enumerate(keys)}
+    on = reduce(and_, (F.col(k).eqNullSafe(F.col(r)) for k, r in named.items()))
+    return left.join(right.withColumnsRenamed(named), on, how).drop(*named.values())
+
 
 # -- filters and projections ---------------------------------------------------
 
@@ -23,12 +36,12 @@ def map_filter(rows: DataFrame, columns: Sequence[str | Column], predicate: Colu
     return (rows if predicate is None else rows.where(predicate)).select(*columns)
 
 
-def filter_genre(rows: DataFrame, category: str, genres: str = "genres") -> DataFrame:
+def filter_genre(rows: DataFrame, category: str | Column, genres: str = "genres") -> DataFrame:
     """Rows of a category, whatever its case."""
     return rows.where(array_contains_ci(F.col(genres), category))
 
 
-def filter_genre_decade(rows: DataFrame, category: str, decade: int, genres: str = "genres", date: str = "release_date") -> DataFrame:
+def filter_genre_decade(rows: DataFrame, category: str | Column, decade: int | Column, genres: str = "genres", date: str = "release_date") -> DataFrame:
     """Rows of a category and a decade."""
     return filter_genre(rows, category, genres).where(extract_decade(F.col(date)) == decade)
 
@@ -100,9 +113,9 @@ def dedup_high_water(log: DataFrame, origin: str, sequence: str, arrival: Sequen
     rows = log.withColumn("__chunk", chunk)
     keys = [*by, origin]
     earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    highest = rows.groupBy(*keys, "__chunk").agg(F.max(sequence).alias("__high")).select(*(F.col(k).alias(f"__key{i}") for i, k in enumerate([*keys, "__chunk"])), F.max("__high").over(earlier).alias("__before"))
+    highest = rows.groupBy(*keys, "__chunk").agg(F.max(sequence).alias("__high")).select(*keys, "__chunk", F.max("__high").over(earlier).alias("__before"))
     inside = Window.partitionBy(*keys, "__chunk").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
-    marked = rows.withColumn("__inside", F.max(sequence).over(inside)).join(highest, reduce(and_, (F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate([*keys, "__chunk"]))))
+    marked = matched(rows.withColumn("__inside", F.max(sequence).over(inside)), highest, [*keys, "__chunk"])
     seen = F.coalesce(F.greatest("__before", "__inside"), F.lit(-1))
     return marked.where(F.col(sequence) > seen).select(*log.columns)
 
@@ -110,9 +123,9 @@ def dedup_high_water(log: DataFrame, origin: str, sequence: str, arrival: Sequen
 # -- order, top, quantiles --------------------------------------------------------
 
 
-def top_n(rows: DataFrame, n: int, order: Sequence[Column], by: By = ()) -> DataFrame:
+def top_n(rows: DataFrame, n: int | Column, order: Sequence[Column], by: By = ()) -> DataFrame:
     """The first n rows in an order, which should break ties; all if they are fewer. Each
-    task keeps n rows of its own before any move."""
+    task keeps n rows of its own before any move. With ``by``, n may be a column."""
     if not by:
         return rows.orderBy(*order).limit(n)
     return rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__rank") <= n).drop("__rank")
@@ -123,22 +136,30 @@ def sort_by_count(rows: DataFrame, count: str = "n", ties: Sequence[str] = ("nam
     return rows.orderBy(count, *ties)
 
 
-def quantile_value(rows: DataFrame, percentile: float, count: str = "n", by: By = ()) -> DataFrame:
+def quantile_value(rows: DataFrame, percentile: float | Column, count: str = "n", by: By = ()) -> DataFrame:
     """``value``: the count at the percentile's place in ascending order, 0 if the place is
-    past the end. Rows are first summed up by count, and the place is looked up in the
-    running sum over the distinct counts, which are few: no task gets all rows."""
-    hist = rows.groupBy(*by, count).agg(F.count("*").alias("__rows"))
-    order = Window.partitionBy(*by).orderBy(count) if by else Window.orderBy(count)
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    placed = hist.select(*by, count, F.sum("__rows").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("__upto"), F.sum("__rows").over(whole).alias("__all"))
-    beyond = F.min(F.when(F.col("__upto") > quantile_index(F.col("__all"), percentile), F.col(count)))
-    return placed.groupBy(*by).agg(F.coalesce(beyond, F.lit(0)).alias("value"))
-
+    past the end. A percentile may be one of the columns in ``by``.
 
-def rows_at_or_above_quantile(rows: DataFrame, percentile: float, count: str = "n", by: By = ()) -> DataFrame:
+    Rows are summed up by count. The distinct counts, which may be as many as the rows, are dealt
+    by ranges between their approximate quantiles; the rows in each range tell in which one the
+    place is, and only that one is sorted, so no task gets all rows or all counts."""
+    hist = rows.groupBy(*by, count).agg(F.count("*").alias("__rows"))
+    bounds = hist.groupBy(*by).agg(F.percentile_approx(count, [i / PARTS for i in range(1, PARTS)], 10_000).alias("__bounds"), F.sum("__rows").alias("__all"))
+    part = F.coalesce(F.size(F.filter("__bounds", lambda b: b < F.col(count))), F.lit(0))
+    dealt = matched(hist, bounds if by else F.broadcast(bounds), by).select(*by, count, "__rows", part.alias("__part"), quantile_index(F.col("__all"), percentile).alias("__place"))  # one row is broadcast
+    sums = dealt.groupBy(*by, "__part", "__place").agg(F.sum("__rows").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = sums.withColumn("__before", before).where(F.col("__place").between(F.col("__before"), F.col("__before") + F.col("__n") - 1)).select(*by, "__part", "__before")
+    upto = F.col("__before") + F.sum("__rows").over(Window.partitionBy(*by, "__part").orderBy(count).rowsBetween(Window.unboundedPreceding, 0))
+    found = matched(dealt, chosen, [*by, "__part"]).select(*by, count, "__place", upto.alias("__upto")).where(F.col("__upto") > F.col("__place")).select(*by, F.col(count).alias("value"))
+    none = bounds.select(*by, F.lit(None).cast(hist.schema[count].dataType).alias("value"))
+    return found.union(none).groupBy(*by).agg(F.coalesce(F.min("value"), F.lit(0)).alias("value"))
+
+
+def rows_at_or_above_quantile(rows: DataFrame, percentile: float | Column, count: str = "n", by: By = ()) -> DataFrame:
     """Rows whose count is at least the percentile's value, ties at the cut included."""
     value = quantile_value(rows, percentile, count, by)
     if by:
-        return rows.join(value, list(by)).where(F.col(count) >= F.col("value")).drop("value")
+        return matched(rows, value, by).where(F.col(count) >= F.col("value")).drop("value")
     one = F.lit(1).alias("__one")
     return rows.select("*", one).join(F.broadcast(value.select("value", one)), "__one").where(F.col(count) >= F.col("value")).drop("value", "__one")  # one row is broadcast

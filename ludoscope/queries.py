@@ -17,9 +17,11 @@ from . import functions as fn
 from . import operators as op
 from . import plans, sources, streaming
 from .operators import language, reconcile
+from .plans import jobs
 from .scratch import new_path
 from .shipping import ship
-from .streaming import keyed
+from .sources import published
+from .streaming import barrier, keyed, outbox
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -400,6 +402,59 @@ def run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.union, rest, q1.union(q2))
 
 
+#: Three jobs that ask for different things.
+_ASKED = [(0, "Urgent", 1990, 3, 5, "Urgent", 0, 90.0), (1, "High", 1990, 10, 2, "HIGH", 1, 50.0), (2, "medium", 2000, 1, 4, "Medium", 0, 75.0)]
+_PARAMS = ", ".join(c.split()[0] for c in jobs.PARAMS.split(", "))
+_BY_JOB = f"""{_SCORES}, p AS (SELECT * FROM (VALUES {", ".join(map(str, _ASKED))}) AS p({_PARAMS})),
+g AS (SELECT p.*, o_orderkey AS app_id, CAST(o_orderkey AS VARCHAR) AS name, {_DECADE.format(_DATE)} AS decade, o_orderstatus AS status, o_totalprice AS played, list_contains(string_split(lower(o_orderpriority), '-'), lower(top_category)) AS top, list_contains(string_split(lower(o_orderpriority), '-'), lower(negative_category)) AS asked FROM orders, p),
+r AS (SELECT doc_id % 3 AS job_id, doc_id // 8 AS app_id, count(*) FILTER (n_chars % 2 = 1) AS positive, count(*) FILTER (n_chars % 2 = 0) AS negative, count(*) FILTER (n_chars % 2 = 0 AND language = 'en') AS spoken FROM l GROUP BY 1, 2),
+h AS (SELECT g.*, coalesce(r.positive, 0) AS positive, coalesce(r.negative, 0) AS negative, coalesce(r.spoken, 0) AS spoken FROM g LEFT JOIN r USING (job_id, app_id)),
+i AS (SELECT job_id, name, negative, percentile, row_number() OVER (PARTITION BY job_id ORDER BY negative) - 1 AS i, count(*) OVER (PARTITION BY job_id) AS m FROM h WHERE asked AND negative > 0),
+v AS (SELECT job_id, coalesce(max(CASE WHEN i = CAST(floor(m * (percentile / 100.0::DOUBLE)) AS BIGINT) THEN negative END), 0) AS value FROM i GROUP BY 1)
+SELECT job_id, 'q1' AS query, unnest(['windows', 'linux', 'mac']) AS name, unnest([count(*) FILTER (status = 'O'), count(*) FILTER (status = 'F'), count(*) FILTER (status = 'P')])::DOUBLE AS value FROM g GROUP BY 1
+UNION ALL SELECT job_id, 'q2', name, played FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY played DESC, name, app_id) AS k FROM g WHERE top AND decade = top_decade) WHERE k <= top_playtime
+UNION ALL SELECT job_id, 'q3', name, CAST(positive AS DOUBLE) FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY positive DESC, name, app_id) AS k FROM h WHERE top) WHERE k <= top_reviews
+UNION ALL SELECT job_id, 'q4', name, CAST(spoken AS DOUBLE) FROM h WHERE asked AND spoken > over
+UNION ALL SELECT job_id, 'q5', name, CAST(negative AS DOUBLE) FROM i JOIN v USING (job_id) WHERE negative >= value"""
+
+
+def _job_answers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    asked = spark.createDataFrame(_ASKED, jobs.PARAMS)
+    flags = {"windows": "O", "linux": "F", "mac": "P"}
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("app_id"), *((F.col("o_orderstatus") == x).alias(c) for c, x in flags.items()))
+    g = dated(spark, sf_dir).join(o, "app_id").join(F.broadcast(asked.select("job_id")))  # three rows
+    docs = table(spark, sf_dir, "documents")
+    r = docs.select((F.col("doc_id") % 3).alias("job_id"), F.expr("doc_id div 8").alias("app_id"), "doc_id", F.col("text").alias("review_text"), F.when(F.col("n_chars") % 2 == 0, -1).otherwise(1).alias("review_score"))
+    weights = language.lang_train(docs)
+    return jobs.answers(g, r, asked, lambda rows: language.filter_language(rows, weights, "doc_id", "review_text"), ("doc_id", "review_text"))
+
+
+def _as_one(got: dict[str, DataFrame]) -> DataFrame:
+    totals = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in jobs.FLAGS)))
+    q1 = got["q1"].select("job_id", totals.alias("x")).select("job_id", F.lit("q1").alias("query"), "x.*")
+    q2 = got["q2"].select("job_id", F.lit("q2"), "name", F.col("avg_playtime").cast("double"))
+    rest = (got[q].select("job_id", F.lit(q), "name", F.col("n").cast("double")) for q in ("q3", "q4", "q5"))
+    return reduce(DataFrame.union, rest, q1.union(q2))
+
+
+@query(_BY_JOB)
+def job_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five answers for each of three jobs that ask with parameters of their own."""
+    return _as_one(_job_answers(spark, sf_dir))
+
+
+@query(_BY_JOB)
+def publish_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same published by job and query, twice, and read back."""
+    out, ids = new_path(spark, "published"), [a[0] for a in _ASKED]
+    got = {q: rows.where("job_id is not null") for q, rows in _job_answers(spark, sf_dir).items()}
+    published.publish({"q1": got["q1"].where("windows < 0")}, out, ids)  # replaced by the next
+    published.publish(got, out, ids)
+    kinds = {"q1": "windows long, linux long, mac long", "q2": "name string, avg_playtime double"}
+    back = {q: [published.read_published(spark, out, j, q, kinds.get(q, "name string, n long")).withColumn("job_id", F.lit(j).cast("long")) for j in ids] for q in got}
+    return _as_one({q: reduce(DataFrame.union, parts) for q, parts in back.items()})
+
+
 # -- reconciliation, sources and sinks ------------------------------------------------------------
 
 
@@ -569,3 +624,33 @@ def stream_high_water_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = streaming.stream_ingest(spark, f"{sf_dir}/events.parque[t]", table(spark, sf_dir, "events").schema, files=1).select(*e.columns).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     streaming.until_inputs_end(twice, keyed.high_water(out, "event_type", "event_id", ["event_id", "copy"], F.floor(F.col("event_id") / 4096)), f"{out}-checkpoint")
     return op.count_by_key(spark.read.parquet(f"{out}/rows"), "event_type")
+
+
+@query("SELECT place, app_id, price FROM (SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place, o_orderkey AS app_id, o_totalprice AS price FROM orders) WHERE place > 37")
+def resume_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of an ordered result for a consumer that stopped after row 37."""
+    rows = dated(spark, sf_dir).select("app_id", F.col("avg_playtime_forever").alias("price"))
+    box = outbox.Outbox(spark, new_path(spark, "outbox"), rows.schema)
+    box.fill(rows, [F.desc("price"), F.asc("app_id")])
+    box.confirm(37)
+    return box.pending()
+
+
+@query(f"SELECT job_id, app_id, n FROM (SELECT l_orderkey % 3 AS job_id, l_partkey AS app_id, count(*) AS n FROM lineitem WHERE {_SCORE} > 0 GROUP BY 1, 2) WHERE job_id < 2")
+def job_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three jobs in one stream of reviews, whose four origins each mark their end; one of
+    job 2's never does, so that job has no answer."""
+    r = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 3).alias("job_id"), F.col("l_partkey").alias("app_id"), fn.polarity(F.when(F.col("l_returnflag") == "A", 1), True).alias("positive"))
+    own = r.where("positive").select("job_id", F.lit("reviews").alias("table"), F.lit(None).cast("int").alias("origin"), "app_id", F.lit(False).alias("ends"))
+    marks = spark.range(12).select((F.col("id") % 3).alias("job_id"), F.lit("reviews"), F.floor(F.col("id") / 3).cast("int").alias("origin"), F.lit(None).cast("long"), F.lit(True)).toDF(*own.columns).where("job_id < 2 OR origin < 3")
+    path, out = new_path(spark, "batches"), new_path(spark, "barrier")
+    for part in (own.where("job_id <> 1"), marks.where("job_id <> 1"), own.where("job_id = 1"), marks.where("job_id = 1")):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = streaming.stream_ingest(spark, path, own.schema, files=1)
+
+    def answer(rows: DataFrame, ended: DataFrame) -> None:
+        published.publish({"q": op.count_by_key(rows, "app_id", by=("job_id",))}, out, [x[0] for x in ended.collect()])  # three jobs
+
+    streaming.until_inputs_end(stream, barrier.answer_when_ended(f"{out}/state", F.col("ends"), {"reviews": 4}, answer), f"{out}-checkpoint")
+    got = {j: published.read_published(spark, out, j, "q", "app_id long, n long") for j in range(3)}
+    return reduce(DataFrame.union, (rows.select(F.lit(j).cast("long").alias("job_id"), "app_id", "n") for j, rows in got.items() if rows is not None))

@@ -72,17 +72,20 @@ def reject_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reason", _reason(rows.columns)).where("reason is not null")
 
 
-def format_results(rows: DataFrame) -> DataFrame:
+def text_columns(rows: DataFrame) -> list[Column]:
     """All columns as text: integers plainly, doubles with six decimals."""
-    return rows.select(*(F.format_string("%f", c).alias(c) if kind in ("double", "float") else F.col(c).cast("string").alias(c) for c, kind in rows.dtypes))
+    return [F.format_string("%f", c).alias(c) if kind in ("double", "float") else F.col(c).cast("string").alias(c) for c, kind in rows.dtypes]
+
+
+def format_results(rows: DataFrame) -> DataFrame:
+    """The rows as text, see :func:`text_columns`."""
+    return rows.select(*text_columns(rows))
 
 
 def write_results_csv(rows: DataFrame, folder: str, job: str = "job_id") -> None:
-    """Header-less CSV files in a folder for each job; writing again replaces them."""
-    shown = format_results(rows.drop(job)).columns
-    kinds = dict(rows.dtypes)
-    text = rows.select(job, *(F.format_string("%f", c).alias(c) if kinds[c] in ("double", "float") else F.col(c).cast("string").alias(c) for c in shown))
-    text.write.partitionBy(job).option("header", False).mode("overwrite").csv(folder)
+    """Header-less CSV files in a folder for each job; writing again replaces them.
+    :func:`published.publish` replaces answers as wholes, by job and query."""
+    rows.select(job, *text_columns(rows.drop(job))).write.partitionBy(job).option("header", False).mode("overwrite").csv(folder)
 
 
 def read_results_csv(spark: SparkSession, folder: str, schema: str) -> DataFrame:

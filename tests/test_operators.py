@@ -116,3 +116,32 @@ def test_reconcile(spark):
     b = spark.createDataFrame([("y\r", 2), (" x", 1), ("z", 3)], "name string, n int")
     assert values(reconcile.result_diff(a, b)) == [("x", "1", "missing"), ("z", "3", "extra")]
     assert values(reconcile.result_merge(a.distinct(), b.where("n = 3"))) == [("x", 1, None), ("y", 2, None)]
+
+
+def test_quantile_of_distinct_values(spark):
+    """Values nearly all distinct, a hot one, groups, nulls as a group, percentiles as a column."""
+    rows = spark.range(30_000).select(((F.col("id") * 7919) % 30_011).alias("n"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("job"))
+    rows = rows.union(spark.range(9_000).select(F.lit(12_345).cast("long"), F.lit(2).cast("long")))
+    values = {}
+    for r in rows.collect():
+        values.setdefault(r.job, []).append(r.n)
+    everything = sorted(v for own in values.values() for v in own)
+    for p in (0, 1, 33.3, 50, 90, 99.99, 100):
+        at = int(len(everything) * (p / 100.0))
+        assert op.quantile_value(rows, p).first().value == (everything[at] if at < len(everything) else 0)
+    asked = {None: 10.0, 1: 75.0, 2: 50.0}
+    own = rows.withColumn("p", F.when(F.col("job") == 1, 75.0).when(F.col("job") == 2, 50.0).otherwise(10.0))
+    got = {r.job: r.value for r in op.quantile_value(own, F.col("p"), by=["job", "p"]).collect()}
+    assert got == {j: sorted(v)[int(len(v) * (asked[j] / 100.0))] for j, v in values.items()}
+    cut = op.rows_at_or_above_quantile(own, F.col("p"), by=["job", "p"])
+    assert cut.count() == sum(v >= got[j] for j, own in values.items() for v in own)
+    assert op.quantile_value(rows.limit(0), 90).first().value == 0
+
+
+def test_quantile_sends_only_sums_to_one_task(spark):
+    rows = spark.range(1000).select(F.col("id").alias("n"))
+    plan = op.quantile_value(rows, 90)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    for i, line in enumerate(lines):
+        if "SinglePartition" in line:
+            assert "partial_" in lines[i + 1] or "HashAggregate(keys=[__part" in lines[i + 1], line  # sketches and sums, not values

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from ludoscope import sources
-from ludoscope.sources import quoted
+from ludoscope.sources import published, quoted
 
 
 @pytest.fixture
@@ -85,3 +85,43 @@ def test_quoted_csv_of_little(spark, tmp_path):
     assert rows("reviews.csv") == rows("more_reviews.csv") == []
     assert rows("open_reviews.csv") == [("1", "n", "never\nclosed,1,2", "", "")]
     assert [(r[0], r[2].replace("\r", ""), r[3], r[4]) for r in rows("dos_reviews.csv")] == [("2", "x\ny", "1", "2")]
+
+
+def test_published_answers(spark, tmp_path):
+    out, kind = str(tmp_path / "out"), "name string, playtime string"
+
+    def answer(*rows):
+        return spark.createDataFrame(list(rows), "job_id string, name string, playtime double")
+
+    def read(job, query="q"):
+        got = published.read_published(spark, out, job, query, kind)
+        return got and sorted(map(tuple, got.collect()))
+
+    published.publish({"q": answer(("a/b=1", "x", 1.5), ("j", "y", 2.0)), "p": answer(("j", "z", 0.0))}, out, ["a/b=1", "j"])
+    assert (read("a/b=1"), read("j"), read("a/b=1", "p"), read("j", "p")) == ([("x", "1.500000")], [("y", "2.000000")], [], [("z", "0.000000")])
+    assert read("other") is None and read("j", "r") is None
+
+    # a writer that is killed half-way: rows are there, the manifest isn't
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    kept, published.store.write_new = published.store.write_new, dies
+    try:
+        with pytest.raises(RuntimeError):
+            published.publish({"q": answer(("j", "new", 3.0))}, out, ["j"])
+    finally:
+        published.store.write_new = kept
+    assert read("j") == [("y", "2.000000")]
+    for i in range(4):
+        published.publish({"q": answer(("j", f"new{i}", 3.0))}, out, ["j"])
+        assert read("j") == [(f"new{i}", "3.000000")] and read("j", "p") == [("z", "0.000000")]
+    assert read("a/b=1") == [("x", "1.500000")]
+    left = [p for p in (tmp_path / "out" / "rows").glob("*/query=q/job_id=j")]
+    assert len(left) == 3  # the last two, and the killed writer's
+
+
+def test_two_publish_at_once(spark, tmp_path):
+    """A number that another writer took first is not written over."""
+    out = str(tmp_path)
+    assert published.store.write_new(spark, f"{out}/m/0.json", "1") and not published.store.write_new(spark, f"{out}/m/0.json", "2")
+    assert published.store.read_text(spark, f"{out}/m/0.json") == "1" and published.store.names(spark, f"{out}/m") == ["0.json"]

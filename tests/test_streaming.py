@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from ludoscope import store, streaming
-from ludoscope.streaming import keyed
+from ludoscope.streaming import barrier, keyed, outbox
 
 
 def test_restart_goes_on(spark, tmp_path):
@@ -157,3 +157,77 @@ def test_high_water_by_key(spark, tmp_path):
     assert told(1) == [("A", 6), ("B", 7), ("C", 1)]
     state = keyed.KeyedTable(spark, str(tmp_path / "o/high"), ["origin"], "origin string, __high long", 4)
     assert sorted(map(tuple, state.read().collect()), key=repr) == [("A", 6), ("B", 7), ("C", 1), (None, 1)]
+
+
+SAID = "job_id long, table string, origin int, app_id long, ends boolean"
+
+
+def test_jobs_end_one_by_one(spark, tmp_path):
+    told = []
+
+    def answer(rows, ended):
+        told.append((sorted(r.job_id for r in ended.collect()), sorted((r.job_id, r.app_id) for r in rows.collect())))
+
+    each = barrier.answer_when_ended(str(tmp_path / "b"), F.col("ends"), {"games": 1, "reviews": 2}, answer, buckets=4)
+
+    def batch(number, *rows):
+        each(spark.createDataFrame(list(rows), SAID), number)
+        return told[-1] if told else None
+
+    def row(job, app):
+        return (job, "reviews", None, app, False)
+
+    def end(job, table, origin):
+        return (job, table, origin, None, True)
+
+    assert batch(0, row(0, 5), row(1, 6), end(0, "reviews", 0), end(0, "reviews", 0), end(0, "games", 0)) is None  # one origin twice
+    assert batch(1, row(0, 7), end(0, "reviews", 0)) is None
+    assert batch(2, row(0, 8), end(0, "reviews", 1)) == ([0], [(0, 5), (0, 7), (0, 8)])  # the other still waits
+    assert len(told) == 1
+    batch(2, row(0, 8), end(0, "reviews", 1))  # again: the same
+    assert told[1] == told[0]
+    batch(3, row(1, 9), end(1, "reviews", 0), end(1, "reviews", 1), end(0, "reviews", 1))
+    assert len(told) == 2  # the games of job 1 haven't ended
+    assert batch(4, end(1, "games", 3), end(2, "games", 0)) == ([1], [(1, 6), (1, 9)])
+    assert len(told) == 3
+
+
+def test_output_goes_on_after_a_row(spark, tmp_path):
+    """Stopped after row 37 of a batch of 50, the sink gives the rest once."""
+    src, taken = str(tmp_path / "src"), []
+    spark.range(50).coalesce(1).write.parquet(src)
+    stream = streaming.stream_ingest(spark, src, "id long", files=1)
+
+    def run(most):
+        def send(row):
+            if len(taken) == most:
+                raise RuntimeError("lost")
+            taken.append((row.place, row.id))
+
+        streaming.until_inputs_end(stream, outbox.outbox_sink(str(tmp_path / "out"), [F.desc("id")], send), str(tmp_path / "check"))
+
+    try:
+        run(37)
+    except Exception as e:
+        assert "lost" in str(e)
+    assert len(taken) == 37
+    spark.range(50, 60).coalesce(1).write.mode("append").parquet(src)
+    run(None)
+    assert taken == [(i + 1, 49 - i) for i in range(50)] + [(i + 1, 59 - i) for i in range(10)]
+
+
+def test_outbox(spark, tmp_path):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("key"), "id").union(spark.createDataFrame([(None, 3), (1, 1), (1, 1)], "key long, id long"))
+    box = outbox.Outbox(spark, str(tmp_path / "o"), rows.schema)
+    box.fill(rows, [F.asc_nulls_last("key")])
+    want = sorted(((r.key, r.id) for r in rows.collect()), key=lambda r: (r[0] is None, r))
+    box.fill(rows.limit(3), ["key"])  # filled already: stays
+    for after in (0, 400, 999, 1003):
+        box.confirm(after)
+        got = sorted(map(tuple, box.pending().collect()))
+        assert got == [(i + 1, *want[i]) for i in range(after, 1003)]
+    box.confirm(5)  # not back
+    assert box.confirmed() == 1003
+    none = outbox.Outbox(spark, str(tmp_path / "n"), rows.schema)
+    none.fill(rows.limit(0), ["key"])
+    assert none.pending().collect() == [] and none.pending().columns == ["place", "key", "id"]
