@@ -139,9 +139,9 @@ def test_quantile_of_distinct_values(spark):
 
 
 def test_quantile_sends_only_sums_to_one_task(spark):
-    rows = spark.range(1000).select(F.col("id").alias("n"))
-    plan = op.quantile_value(rows, 90)._jdf.queryExecution().executedPlan().toString()
-    lines = plan.split("\n")
-    for i, line in enumerate(lines):
-        if "SinglePartition" in line:
-            assert "partial_" in lines[i + 1] or "HashAggregate(keys=[__part" in lines[i + 1], line  # sketches and sums, not values
+    """What one task gets are sketches and the sums of parts, never the values."""
+    plan = op.quantile_value(spark.range(1000).select(F.col("id").alias("n")), 90)._jdf.queryExecution().executedPlan().toString().split("\n")
+    to_one = [plan[i + 1].split("- ", 1)[1] for i, line in enumerate(plan) if "Exchange SinglePartition" in line]
+    assert len(to_one) > 1
+    for below in to_one:
+        assert below.startswith(("HashAggregate(keys=[], ", "HashAggregate(keys=[__part#", "ObjectHashAggregate(keys=[], ", "SortAggregate(keys=[], ")), below
