@@ -47,7 +47,7 @@ def shapes(w: Words) -> np.ndarray:
 
 def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of texts: the text and the bucket of each n-gram, and the words of each text."""
-    parts, which = segments(texts)
+    parts, which, old = segments(texts, again=4)  # an n-gram of three shapes looks back on four words
     at = 0
     while at < len(parts):
         size, a = 0, at
@@ -56,6 +56,7 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
             at += 1
         w = words(parts[a:at])
         look = shapes(w).astype(np.uint64)
+        new = np.arange(len(w.start)) - np.searchsorted(w.text, w.text) >= old[a:at][w.text]  # words that no part before has
         text, bucket = [], []
         with np.errstate(over="ignore"):
             for kind, (source, orders) in enumerate(((w.hash, (1, 2)), (look, (1, 2, 3)))):
@@ -66,13 +67,13 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
                     h = np.full(m, np.uint64(kind * 8 + n))
                     for k in range(n):
                         h = h * np.uint64(0x100000001B3) + source[k : k + m]
-                    same = w.text[:m] == w.text[n - 1 :]
+                    same = (w.text[:m] == w.text[n - 1 :]) & new[n - 1 :]
                     text.append(w.text[:m][same])
                     bucket.append((mix(h[same]) % np.uint64(BUCKETS)).astype(np.int64))
         own = which[a:at]
         text = own[np.concatenate(text)] if text else np.zeros(0, np.int64)
         bucket = np.concatenate(bucket) if bucket else np.zeros(0, np.int64)
-        yield text, bucket, np.bincount(own[w.text] if len(w.text) else np.zeros(0, np.int64), minlength=len(texts))
+        yield text, bucket, np.bincount(own[w.text[new]] if len(w.text) else np.zeros(0, np.int64), minlength=len(texts))
 
 
 def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS, epochs: int = EPOCHS, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.001, l2: float = 0.01) -> np.ndarray:

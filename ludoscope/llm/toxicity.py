@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import in_pieces, remainder
 from .quality import picked
-from .wording import RUN, Words, segments, words
+from .wording import RUN, Words, segments, windowed, words
 
 #: Size of the network: word and trigram buckets, width of their vectors, of the states.
 WORDS, TRIGRAMS, WIDTH, STATES = 1 << 14, 1 << 13, 16, 10
 #: Words in a window, and from one window's start to the next.
 WINDOW, STEP = 16, 8
-#: Labelled rows that the network is trained on at most, and the windows of each.
+#: Labelled rows that the network is trained on at most, and the windows of each in a step.
 SAMPLE, SAMPLE_WINDOWS = 8_192, 32
 #: Training steps, texts in each, and the rate.
 STEPS, BATCH, RATE = 800, 48, 0.01
@@ -152,19 +152,27 @@ def summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Text:
-    """A labelled text, ready for training."""
+    """A whole labelled text, ready for training."""
 
     def __init__(self, text: str, label: int):
-        parts, _ = segments([text])
-        every = [words([p]) for p in parts]
-        got = [distinct(w) for w in every]
+        parts, *_ = segments([text])
+        got = [distinct(words([p])) for p in parts]
         shift = np.cumsum([0, *(len(g[1]) for g in got)])
-        self.number = np.concatenate([g[0] + k for g, k in zip(got, shift, strict=False)])
-        self.word = np.concatenate([g[1] for g in got])
-        self.tri = [t for g in got for t in np.split(g[2], g[3][1:])] if len(self.word) else []
+        self.number = np.concatenate([g[0] + k for g, k in zip(got, shift, strict=False)]).astype(np.int32)
+        self.word = np.concatenate([g[1] for g in got]).astype(np.int32)
+        self.tri = np.concatenate([g[2] for g in got]).astype(np.int32)
+        # where the trigrams of each distinct word begin, and the end
+        self.begin = np.concatenate([*(g[3] + sum(len(x[2]) for x in got[:k]) for k, g in enumerate(got)), [len(self.tri)]]).astype(np.int64)
         self.start, _ = windows(np.zeros(len(self.number), np.int64))
         self.label = label
 
+    def trigrams(self, of: np.ndarray) -> list[np.ndarray]:
+        return [self.tri[self.begin[u] : self.begin[u + 1]] for u in of.tolist()]
+
+    def some(self, r: np.random.Generator) -> np.ndarray:
+        """Windows of the whole text to learn from in a step: all, or as many drawn from all."""
+        return self.start if len(self.start) <= SAMPLE_WINDOWS else r.choice(self.start, SAMPLE_WINDOWS, replace=False)
+
 
 def train_net(texts: list[Text], steps: int | None = None, rate_of_ones: float = 0.5, seed: int = 5) -> Net:
     """Adam on batches with as many toxic texts as others; at the end the bias is set right
@@ -185,7 +193,7 @@ def train_net(texts: list[Text], steps: int | None = None, rate_of_ones: float =
         batch = [g[int(i)] for g in groups for i in r.integers(len(g), size=BATCH // 2)]
         number, word, tri, owner = [], [], [], []
         for k, t in enumerate(batch):
-            s = t.start if len(t.start) <= SAMPLE_WINDOWS else r.choice(t.start, SAMPLE_WINDOWS, replace=False)
+            s = t.some(r)
             at = s[:, None] + np.arange(WINDOW)
             there = at < len(t.number)
             ids = np.where(there, t.number[np.minimum(at, len(t.number) - 1)], -1)
@@ -193,7 +201,7 @@ def train_net(texts: list[Text], steps: int | None = None, rate_of_ones: float =
             used = used[used >= 0]
             number.append(np.where(there, place.reshape(ids.shape) - (ids.min() < 0) + len(word), -1))
             word += t.word[used].tolist()
-            tri += [t.tri[u] for u in used]
+            tri += t.trigrams(used)
             owner += [k] * len(s)
         number, owner = np.concatenate(number), np.array(owner)
         mask = (number >= 0).astype(np.float32)
@@ -236,7 +244,7 @@ def train_net(texts: list[Text], steps: int | None = None, rate_of_ones: float =
 def score_texts(net: Net, texts: list[str]) -> np.ndarray:
     """The logit of each text's highest window; that of an empty window for no words."""
     best = np.full(len(texts), -np.inf)
-    parts, which = segments(texts)
+    parts, which = windowed(texts, WINDOW, STEP)
     at = 0
     while at < len(parts):
         size, a = 0, at
@@ -262,8 +270,8 @@ def score_texts(net: Net, texts: list[str]) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = (4, 2), most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Net:
     """The network, trained on at most ``most`` labelled texts outside the held-out part: a
     quarter of them labelled 1, or all there are if they are fewer, so that the rarer label
-    isn't wanting, and at most three quarters labelled 0. Of each text 1,024 words in a row
-    are learnt from."""
+    isn't wanting, and at most three quarters labelled 0. Whole texts are learnt from: each step
+    draws from all windows of a text."""
     rare = picked(labels.where(F.col(label) == 1), label, held_out, most // 4, id_col)
     rest = picked(labels.where(F.col(label) == 0), label, held_out, most - most // 4, id_col)
     mod, rest_of = held_out
@@ -271,22 +279,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tu
     sample = rare.union(rest).groupBy("__id").agg(F.max("y").alias("y"), F.max("h").alias("h"))
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "__id")  # `most` rows at most
 
-    # of a text a bounded number of words is learnt from, at a place that its hash draws
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                said = batch.column(0)[k].as_py().split()
-                room = 4 * SAMPLE_WINDOWS * STEP
-                at = batch.column(2)[k].as_py() % max(1, len(said) - room + 1)
-                yield pa.RecordBatch.from_arrays([pa.array([" ".join(said[at : at + room])]), batch.column(1).slice(k, 1), batch.column(2).slice(k, 1)], ["text", "y", "h"])
-
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = train_net([Text(r["text"], r["y"]) for b in batches for r in b.to_pylist()], rate_of_ones=share or 0.0)
         out = io.BytesIO()
         np.savez(out, **net)
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
 
-    fitted = rows.select("text", "y", "h").mapInArrow(cut, "text string, y int, h long").repartition(1).sortWithinPartitions("h", "text", "y").mapInArrow(fit, "model binary").collect()
+    fitted = rows.select("text", "y", "h").repartition(1).sortWithinPartitions("h", "text", "y").mapInArrow(fit, "model binary").collect()
     if not fitted:
         return train_net([])
     return dict(np.load(io.BytesIO(fitted[0]["model"])))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,18 +70,56 @@ class Words:
     letters: np.ndarray  #: whether it is of letters and digits
 
 
-def segments(texts: list[str], most: int = RUN) -> tuple[list[bytes], np.ndarray]:
-    """Texts as bytes, those longer than ``most`` cut at spaces; the index of the text of each."""
-    out, which = [], []
+#: Space that no word is cut at.
+_ENDS = b"\x00 \t\n\r\x0b\x0c"
+
+
+def _pieces(raw: bytes, following: Callable[[bytes], tuple[bytes, int]]) -> Iterator[bytes]:
+    """A text's parts of more than RUN bytes, cut at spaces. ``following`` gives, for a part, what
+    of it is to be used and where in it the next one begins."""
+    a = b = 0
+    while (b := raw.find(b" ", max(a + RUN, b + 1))) >= 0:
+        used, by = following(raw[a:b])
+        yield used
+        a += by
+    yield raw[a:]
+
+
+def segments(texts: list[str], again: int = 0) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Texts as bytes, long ones in parts; the index of the text of each part, and how many of
+    its words the part before has too: the last ``again`` of that, or all if they are fewer."""
+    out, which, old = [], [], []
     for i, t in enumerate(texts):
-        raw = t.encode()
-        a = 0
-        while len(raw) - a > most and (b := raw.find(b" ", a + most)) >= 0:
-            out.append(raw[a:b])
+        has = [0]
+
+        def following(part: bytes, has: list[int] = has) -> tuple[bytes, int]:
+            start = words([part]).start[-again:] if again else ()
+            has.append(len(start))
+            return part, int(start[0]) if len(start) else len(part)
+
+        for part in _pieces(t.encode().rstrip(_ENDS), following):
+            out.append(part)
             which.append(i)
-            a = b
-        out.append(raw[a:])
-        which.append(i)
+        old += has
+    return out, np.array(which, dtype=np.int64), np.array(old, dtype=np.int64)
+
+
+def windowed(texts: list[str], window: int, step: int) -> tuple[list[bytes], np.ndarray]:
+    """Texts as bytes, long ones in parts, and the index of the text of each: windows of
+    ``window`` words, one each ``step``, of the parts are those of the whole texts."""
+
+    def following(part: bytes) -> tuple[bytes, int]:
+        w = words([part])
+        full = (len(w.start) - window) // step + 1 if len(w.start) >= window else 0
+        if not full:
+            return b"", 0  # more words are needed
+        return part[: int(w.end[(full - 1) * step + window - 1])], int(w.start[full * step])
+
+    out, which = [], []
+    for i, t in enumerate(texts):
+        own = [p for p in _pieces(t.encode().rstrip(_ENDS), following) if p] or [b""]
+        out += own
+        which += [i] * len(own)
     return out, np.array(which, dtype=np.int64)
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ludoscope.llm import dialogue, manifest, personal
+from ludoscope.llm import dialogue, lines, manifest, personal, quality, toxicity, wording
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string"
 
@@ -322,3 +322,84 @@ def test_find(spark):
     assert personal.find(df.limit(0)).collect() == []
     nothing = spark.createDataFrame([(1, "no 743-555-3824")], "doc_id long, text string")
     assert personal.find(nothing).first().spans == ""
+
+
+# -- long texts, and lines side by side -----------------------------------------------------------
+
+
+@pytest.mark.parametrize("run", [1, 5, 60, 400])
+def test_parts_of_long_texts_change_nothing(monkeypatch, run):
+    """Features and scores are the same wherever long texts are cut."""
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["the", "THE", "x!", "a1", "b--c", "über", "x", "??", "\n", "  "]) for _ in range(n)) for n in (0, 1, 3, 15, 16, 17, 40, 333)]
+    texts += ["   " * 50, " a" + " " * 60 + "b  "]
+    net = toxicity.new_net()
+
+    def told():
+        got = list(quality.features(texts))
+        text, bucket = (np.concatenate([g[k] for g in got]) for k in (0, 1))
+        return [np.sort(bucket[text == i]).tolist() for i in range(len(texts))], sum(g[2] for g in got).tolist()
+
+    want, scores = told(), toxicity.score_texts(net, texts)
+    monkeypatch.setattr(wording, "RUN", run)
+    assert told() == want
+    assert np.abs(toxicity.score_texts(net, texts) - scores).max() < 1e-6
+    whole = toxicity.Text(texts[-3], 1)
+    assert len(whole.number) == len(wording.words([texts[-3].encode()]).start) and whole.begin[-1] == len(whole.tri)
+
+
+def test_distances_side_by_side(monkeypatch):
+    """Bit vectors of many pairs, of one or more words, with carries between them."""
+    rng = random.Random(1)
+    xs, ys = [], []
+    for _ in range(1200):
+        n = rng.choice([0, 1, 3, 20, 63, 64, 65, 100, 128, 129, 300])
+        a = "".join(rng.choice("abcdé 丈") for _ in range(n))
+        b = list(a)
+        for _ in range(rng.randrange(0, max(1, n // 2) + 1)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = rng.choice(["", "x", "a", " "])
+        xs.append(a)
+        ys.append("".join(b))
+    most = np.array([max(len(a), len(b)) // 5 for a, b in zip(xs, ys)])
+    want = [lines.edit_distance(a, b, m) <= m for a, b, m in zip(xs, ys, most.tolist())]
+    assert 200 < sum(want) < 1000
+    monkeypatch.setattr(lines, "MANY", 1)
+    assert lines.close_pairs(xs, ys, most).tolist() == want
+    assert lines.similar_pairs(xs, ys).tolist() == want
+
+
+@pytest.mark.parametrize("many", [1, 64])
+def test_crowds(monkeypatch, many):
+    """Links of crowds connect what all pairs connect; crowds come in batches cut anywhere."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(lines, "MANY", many)
+    rng = random.Random(7)
+    rows = []
+    for key in range(12):
+        bases = ["".join(rng.choice("abcdef ") for _ in range(rng.choice([30, 60]))).strip() for _ in range(6)]
+        for k in range(rng.choice([5, 70])):
+            said = list(rng.choice(bases))
+            for _ in range(rng.randrange(8)):
+                said[rng.randrange(len(said))] = rng.choice("xyz")
+            rows.append((key, 0, 0, key * 1000 + k, "".join(said), 0, 0, key * 1000 + (k if rng.random() < 0.8 else 0)))
+    table = pa.table(dict(zip(("key", "__i", "__j", "line", "said", "w0", "w1", "g_line"), map(list, zip(*rows)))))
+    got = [tuple(r) for x in lines.crowd_links(lines._crowds(iter(table.to_batches(max_chunksize=17)))) for r in x.tolist()]
+
+    def joined(edges):
+        of = {r[3]: r[3] for r in rows}
+
+        def top(x):
+            while of[x] != x:
+                x = of[x]
+            return x
+
+        for a, b in [*edges, *((r[3], r[7]) for r in rows if r[7] in of)]:
+            of[top(a)] = top(b)
+        return {frozenset(x for x in of if top(x) == t) for t in map(top, of)}
+
+    texts = {r[3]: r[4] for r in rows}
+    every = [(a[3], b[3]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and lines.similar_lines(a[4], b[4])]
+    assert all(lines.similar_lines(texts[a], texts[b]) for a, b in got)
+    assert joined(got) == joined(every)
