@@ -6,8 +6,8 @@ of each list; the scores of these few are summed up, and the k-th best of them o
 blocks is a score that k candidates reach, hence a safe cutoff. Phase 2: the cutoff goes to
 all blocks, and each list gives the entries whose partial score is at least an equal share
 of it - a candidate with none such can't reach the cutoff. Phase 3: the partial scores that
-these lack are looked up, and the best k of each query kept. Lists are gone through one
-after the other, and no score is summed up but for entries that a list gave. Queries and
+these lack are looked up, and the best k of each query kept. A block's lists are formed once a
+phase, and no score is summed up but for entries that a list gave. Queries and
 candidates meet as blocks of bounded size, one task for each pair of blocks.
 """
 
@@ -77,27 +77,28 @@ def partial_scores(q: np.ndarray, c: np.ndarray, lists: int) -> Iterator[np.ndar
         yield x.astype(kind) @ y.astype(kind).T
 
 
-def looked_up(q: np.ndarray, c: np.ndarray, lists: int, at: np.ndarray) -> np.ndarray:
-    """The scores of some entries (places in the matrix of all), list by list."""
+def looked_up(lists: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """The scores of some entries (places in the matrix of all), summed over the lists."""
     out = np.zeros(len(at), dtype=np.int64)
-    for p in partial_scores(q, c, lists):
+    for p in lists:
         out += p.ravel()[at].astype(np.int64)
     return out
 
 
-def best_entries(q: np.ndarray, c: np.ndarray, k: int, lists: int) -> np.ndarray:
+def best_entries(lists: list[np.ndarray], k: int) -> np.ndarray:
     """Phase 1: places of the ``k`` best entries of each list for each query."""
-    width = min(k, len(c))
-    row = np.arange(len(q))[:, None] * len(c)
-    tops = [np.argpartition(p, len(c) - width, axis=1)[:, len(c) - width :] if width < len(c) else np.broadcast_to(np.arange(len(c)), p.shape) for p in partial_scores(q, c, lists)]
+    rows, n = lists[0].shape
+    width = min(k, n)
+    row = np.arange(rows)[:, None] * n
+    tops = [np.argpartition(p, n - width, axis=1)[:, n - width :] if width < n else np.broadcast_to(np.arange(n), p.shape) for p in lists]
     return np.unique(np.concatenate([(row + t).ravel() for t in tops]))
 
 
-def sufficient_entries(q: np.ndarray, c: np.ndarray, cutoff: np.ndarray, lists: int) -> np.ndarray:
+def sufficient_entries(lists: list[np.ndarray], cutoff: np.ndarray) -> np.ndarray:
     """Phase 2: places of the entries with at least an equal share of the cutoff in some list."""
-    share = np.where(cutoff == np.iinfo(np.int64).min, cutoff, -(-cutoff // lists))[:, None]  # rounded up: a sum of integers
-    seen = np.zeros((len(q), len(c)), dtype=bool)
-    for p in partial_scores(q, c, lists):
+    share = np.where(cutoff == np.iinfo(np.int64).min, cutoff, -(-cutoff // len(lists)))[:, None]  # rounded up: a sum of integers
+    seen = np.zeros(lists[0].shape, dtype=bool)
+    for p in lists:
         seen |= p >= share if p.dtype == np.int64 else p >= share.astype(np.float64)  # a rounded share beyond 2^53 is beyond all partial scores too
     return np.flatnonzero(seen)
 
@@ -116,8 +117,9 @@ def local_best(row: dict, k: int, lists: int) -> Iterator[pd.DataFrame]:
     (qid, q), (cid, c) = _vectors(row, "q"), _vectors(row, "c")
     for i in range(0, len(qid), AT_ONCE):
         part = slice(i, i + AT_ONCE)
-        at = best_entries(q[part], c, k + 1, lists)
-        yield _kept(qid[part], cid, at, looked_up(q[part], c, lists, at), k)
+        own = list(partial_scores(q[part], c, lists))
+        at = best_entries(own, k + 1)
+        yield _kept(qid[part], cid, at, looked_up(own, at), k)
 
 
 def sufficient(row: dict, k: int, lists: int) -> Iterator[pd.DataFrame]:
@@ -128,8 +130,9 @@ def sufficient(row: dict, k: int, lists: int) -> Iterator[pd.DataFrame]:
     cutoff = np.frombuffer(row["q_cutoff"], dtype=np.int64)
     for i in range(0, len(qid), AT_ONCE):
         part = slice(i, i + AT_ONCE)
-        at = sufficient_entries(q[part], c, cutoff[part], lists)
-        score = looked_up(q[part], c, lists, at)
+        own = list(partial_scores(q[part], c, lists))
+        at = sufficient_entries(own, cutoff[part])
+        score = looked_up(own, at)
         fine = score >= cutoff[part][at // max(len(cid), 1)]
         yield _kept(qid[part], cid, at[fine], score[fine], k)
 

@@ -250,18 +250,36 @@ def test_top_k_phases_look_up_few(high):
     q, c = (np.floor(g.normal(size=(n, 32)) * high).astype(np.int64) for n in (30, 2000))
     full = q.astype(object) @ c.T.astype(object)
     best = np.sort(full, axis=1)[:, -20:]
-    first = topk.best_entries(q, c, 20, topk.LISTS)
+    own = list(topk.partial_scores(q, c, topk.LISTS))
+    first = topk.best_entries(own, 20)
     assert len(first) <= 30 * 20 * topk.LISTS
-    told = topk.looked_up(q, c, topk.LISTS, first)
+    told = topk.looked_up(own, first)
     assert [int(x) for x in told] == [(int(x) + 2**63) % 2**64 - 2**63 for x in full.ravel()[first]]
     if high < 2**33:  # within 64 bits
         cutoff = np.array([np.sort(told[first // 2000 == i])[-20] for i in range(30)])
         assert all(cutoff <= best[:, 0])
-        at = topk.sufficient_entries(q, c, cutoff, topk.LISTS)
+        at = topk.sufficient_entries(own, cutoff)
         assert len(at) < full.size / 3
         assert set(np.flatnonzero((full >= best[:, :1]).ravel())) <= set(at)
 
 
+def test_top_k_forms_each_list_once_a_phase(monkeypatch):
+    """Both phases together take the multiply-adds of two block products."""
+    g = np.random.default_rng(4)
+    q, c = (np.floor(g.normal(size=(n, 32)) * 40).astype(np.int8) for n in (30, 500))
+    done, real = [], topk.partial_scores
+
+    def counted(a, b, lists):
+        for p in real(a, b, lists):
+            done.append(p.size)
+            yield p
+
+    monkeypatch.setattr(topk, "partial_scores", counted)
+    row = {"dim": 32, "q_id": np.arange(30).tobytes(), "q_v": q.tobytes(), "c_id": np.arange(500).tobytes(), "c_v": c.tobytes(), "q_cutoff": np.full(30, 10_000).tobytes()}
+    list(topk.local_best(row, 20, topk.LISTS)), list(topk.sufficient(row, 20, topk.LISTS))
+    assert sum(done) == 2 * topk.LISTS * 30 * 500  # of 32 / LISTS components each
+
+
 # -- graphs ---------------------------------------------------------------------------------------
 
 
