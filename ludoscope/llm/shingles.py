@@ -149,17 +149,17 @@ def near_duplicates(docs: DataFrame, k: int, bits: int, n: int = 5, least: tuple
 
 
 def without_later(docs: DataFrame, k: int, bits: int, n: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group, or null."""
+    """The rows of ``docs`` whose id is the smallest of their group, or null. Columns may have
+    any names."""
     found = written(near_duplicates(docs, k, bits, n), "keepers")
-    ids = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", F.col("text").cast("string"))
-    schema = docs.schema.names
+    ids = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = [x for _, part in _texts(batch.column(len(schema) + 1)) for x in shingle_hashes(part, n)[2]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(t, dtype=np.uint64).view(np.int64))], [*schema, "__id", "__t"])
+            t = [x for _, part in _texts(batch.column(2)) for x in shingle_hashes(part, n)[2]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(t, dtype=np.uint64).view(np.int64))], ["row", "id", "t"])
 
-    told = ids.mapInArrow(named, ids.drop("__text").schema.add("__t", "long"))
-    rows = told.select("__id", F.col("__t").alias("t")).where("__id is not null").distinct()
-    gone = rows.join(found, "t").where("keeper < __id").select("__id", F.col("t").alias("__t"))
-    return told.join(gone, ["__id", "__t"], "left_anti").select(*schema)
+    told = ids.mapInArrow(named, ids.drop("text").schema.add("t", "long"))
+    rows = told.select("id", "t").where("id is not null").distinct()
+    gone = rows.join(found, "t").where("keeper < id").select("id", "t")
+    return told.join(gone, ["id", "t"], "left_anti").select("row.*")

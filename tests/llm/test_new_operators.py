@@ -403,3 +403,14 @@ def test_crowds(monkeypatch, many):
     every = [(a[3], b[3]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and lines.similar_lines(a[4], b[4])]
     assert all(lines.similar_lines(texts[a], texts[b]) for a, b in got)
     assert joined(got) == joined(every)
+
+
+def test_near_dedup_keeps_clashing_columns(spark):
+    from ludoscope.llm import shingles
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a", 5, "k"), (2, text + " more", "b", 6, "l"), (3, "other words are here", "c", 7, None), (None, text, "d", 8, "m"), (4, None, "e", 9, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string, id int, `a.b` string").withColumn("__t", F.lit(1)).withColumn("__id", F.lit(2)).withColumn("t", F.lit(3))
+    got = shingles.without_later(df, k=11, bits=128)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(*r, 1, 2, 3) for r in rows if r[0] != 2], key=repr)
