@@ -6,11 +6,30 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import store
 
 _made: list[str] = []
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is written to the shared folder inside is deleted at the end, also after a failure.
+    Results are lazy and read those tables, so they are to be consumed inside too."""
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            store.delete(spark, path)
+            store.delete(spark, f"{path}-checkpoint")  # a stream's, beside what it wrote
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,8 +47,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; it belongs to the innermost open scope."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:

@@ -125,3 +125,18 @@ def test_two_publish_at_once(spark, tmp_path):
     out = str(tmp_path)
     assert published.store.write_new(spark, f"{out}/m/0.json", "1") and not published.store.write_new(spark, f"{out}/m/0.json", "2")
     assert published.store.read_text(spark, f"{out}/m/0.json") == "1" and published.store.names(spark, f"{out}/m") == ["0.json"]
+
+
+def test_scope_deletes_what_was_written(spark):
+    from ludoscope.queries import QUERIES
+    from ludoscope.scratch import scope, shared_dir, store, written
+
+    before = store.names(spark, shared_dir(spark))
+    with pytest.raises(ValueError), scope(spark):
+        assert written(spark.range(3), "kept").count() == 3
+        with scope(spark):
+            assert QUERIES["stream_q3_keyed"](spark, "/root/testdata/sf0.001").count() == 5
+            assert len(store.names(spark, shared_dir(spark))) > len(before) + 2
+        assert len(store.names(spark, shared_dir(spark))) == len(before) + 1  # the outer table
+        raise ValueError
+    assert store.names(spark, shared_dir(spark)) == before
