@@ -152,8 +152,9 @@ def quantile_value(rows: DataFrame, percentile: float | Column, count: str = "n"
     chosen = sums.withColumn("__before", before).where(F.col("__place").between(F.col("__before"), F.col("__before") + F.col("__n") - 1)).select(*by, "__part", "__before")
     upto = F.col("__before") + F.sum("__rows").over(Window.partitionBy(*by, "__part").orderBy(count).rowsBetween(Window.unboundedPreceding, 0))
     found = matched(dealt, chosen, [*by, "__part"]).select(*by, count, "__place", upto.alias("__upto")).where(F.col("__upto") > F.col("__place")).select(*by, F.col(count).alias("value"))
-    none = bounds.select(*by, F.lit(None).cast(hist.schema[count].dataType).alias("value"))
-    return found.union(none).groupBy(*by).agg(F.coalesce(F.min("value"), F.lit(0)).alias("value"))
+    if by:  # groups whose place is past the end
+        found = found.union(bounds.select(*by, F.lit(None).cast(hist.schema[count].dataType).alias("value")))
+    return found.groupBy(*by).agg(F.coalesce(F.min("value"), F.lit(0)).alias("value"))
 
 
 def rows_at_or_above_quantile(rows: DataFrame, percentile: float | Column, count: str = "n", by: By = ()) -> DataFrame:
