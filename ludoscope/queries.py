@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import functions as fn
 from . import operators as op
-from . import plans, sources, streaming
+from . import plans, sources, store, streaming
 from .operators import language, reconcile
 from .plans import jobs
 from .scratch import new_path
@@ -644,9 +644,10 @@ def job_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = r.where("positive").select("job_id", F.lit("reviews").alias("table"), F.lit(None).cast("int").alias("origin"), "app_id", F.lit(False).alias("ends"))
     marks = spark.range(12).select((F.col("id") % 3).alias("job_id"), F.lit("reviews"), F.floor(F.col("id") / 3).cast("int").alias("origin"), F.lit(None).cast("long"), F.lit(True)).toDF(*own.columns).where("job_id < 2 OR origin < 3")
     path, out = new_path(spark, "batches"), new_path(spark, "barrier")
-    for part in (own.where("job_id <> 1"), marks.where("job_id <> 1"), own.where("job_id = 1"), marks.where("job_id = 1")):
-        part.coalesce(1).write.mode("append").parquet(path)
-    stream = streaming.stream_ingest(spark, path, own.schema, files=1)
+    for part in (own.where("job_id <> 1"), marks.where("job_id <> 1").coalesce(1), own.where("job_id = 1"), marks.where("job_id = 1").coalesce(1)):
+        part.write.mode("append").parquet(path)  # markers, 11 rows, in one file each time
+    n_files = sum(name.endswith(".parquet") for name in store.names(spark, path))
+    stream = streaming.stream_ingest(spark, path, own.schema, files=-(-n_files // 4))  # four batches, in the order of writing
 
     def answer(rows: DataFrame, ended: DataFrame) -> None:
         published.publish({"q": op.count_by_key(rows, "app_id", by=("job_id",))}, out, [x[0] for x in ended.collect()])  # three jobs

@@ -15,6 +15,8 @@ from .keyed import KeyedTable
 
 #: Gets all rows of the jobs that ended, and those jobs.
 Answer = Callable[[DataFrame, DataFrame], None]
+#: Rows of a job in a batch that one task writes, about.
+IN_TASK = 1 << 17
 
 
 def complete(markers: DataFrame, needed: Mapping[str, int], job: str = "job_id", table: str = "table") -> DataFrame:
@@ -29,7 +31,7 @@ def answer_when_ended(path: str, is_end: Column, needed: Mapping[str, int], answ
     ``needed[t]`` origins have marked the end of each table t. One origin's marker counts once,
     however often it comes.
 
-    Rows are kept by job and batch, markers in a :class:`KeyedTable`. ``answer`` is called in the
+    Rows are kept by job and batch, a large job's by many tasks, markers in a :class:`KeyedTable`. ``answer`` is called in the
     batch that ends a job, once, with several if they end together; a batch that comes again
     calls it again with the same, so it should replace what it publishes. Rows that come after
     a job's end are kept but not answered."""
@@ -39,7 +41,7 @@ def answer_when_ended(path: str, is_end: Column, needed: Mapping[str, int], answ
         batch = batch.persist()
         try:
             named = batch.where(~F.coalesce(is_end, F.lit(False))).withColumn("__job", _folder(job))
-            named.repartition("__job").write.partitionBy("__job").mode("overwrite").parquet(own)
+            _spread(named).write.partitionBy("__job").mode("overwrite").parquet(own)
             table_of = KeyedTable(spark, f"{path}/ends", [job], batch.select(job, table, origin).schema, buckets)
             new = batch.where(is_end).select(job, table, origin).distinct()
             before = complete(table_of.read(batch_id), needed, job, table)
@@ -64,6 +66,15 @@ def _of(rows: DataFrame, jobs: DataFrame, job: str, how: str = "left_semi") -> D
     return rows.join(other, rows[job].eqNullSafe(other["__of"]), how)
 
 
+def _spread(named: DataFrame) -> DataFrame:
+    """Rows dealt by ``__job``, so that a small job is in one file; those of a job of over
+    ``IN_TASK`` rows in turn to as many tasks as it takes."""
+    large = named.groupBy("__job").agg(F.count("*").alias("n")).where(F.col("n") > IN_TASK)
+    parts = large.select("__job", F.ceil(F.col("n") / IN_TASK).alias("__parts"))  # fewer than rows / IN_TASK
+    dealt = named.withColumn("__place", F.monotonically_increasing_id()).join(F.broadcast(parts), "__job", "left")
+    return dealt.repartition("__job", F.pmod("__place", F.coalesce("__parts", F.lit(1)))).drop("__place", "__parts")
+
+
 def _folder(job: str) -> Column:
     return F.coalesce(F.concat(F.lit("1"), F.col(job).cast("string")), F.lit("0"))
 

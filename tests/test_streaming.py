@@ -192,6 +192,21 @@ def test_jobs_end_one_by_one(spark, tmp_path):
     assert len(told) == 3
 
 
+def test_large_job_is_kept_by_many_tasks(spark, tmp_path, monkeypatch):
+    """A job of many rows doesn't go through one task; small ones stay in one file."""
+    monkeypatch.setattr(barrier, "IN_TASK", 50)
+    own = spark.newSession()  # small partitions stay apart
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    got = []
+    each = barrier.answer_when_ended(str(tmp_path / "b"), F.col("ends"), {"reviews": 1}, lambda rows, _: got.extend(sorted((r.job_id, r.app_id) for r in rows.collect())), buckets=4)
+    rows = [(0, "reviews", None, 7, False)] * 1000 + [(1, "reviews", None, k, False) for k in range(20)] + [(None, "reviews", None, 3, False)] * 200
+    ends = [(0, "reviews", 0, None, True), (1, "reviews", 0, None, True)]
+    each(own.createDataFrame(rows + ends, SAID).repartition(3), 0)
+    assert got == [(0, 7)] * 1000 + [(1, k) for k in range(20)]
+    files = {d: len(list((tmp_path / "b" / "rows" / "__batch=0" / f"__job={d}").glob("*.parquet"))) for d in ("10", "11", "0")}
+    assert files["10"] > 1 and files["0"] > 1 and files["11"] == 1
+
+
 def test_output_goes_on_after_a_row(spark, tmp_path):
     """Stopped after row 37 of a batch of 50, the sink gives the rest once."""
     src, taken = str(tmp_path / "src"), []
