@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,22 +35,42 @@ _SPLIT = pa.schema([("split", pa.int64()), ("at", pa.int64()), ("file", pa.strin
 _PIECE = pa.schema([("file", pa.string()), ("at", pa.int64()), ("first", pa.bool_()), ("piece", pa.int32()), ("record", pa.string())])
 
 
-def line_effect(line: Column) -> Column:
-    """What a line does to the states, by the text before each of its quotes: inside quotes
-    a quote ends them, or is the first of two. Outside, it begins them at a field's start (or is
-    the second of two); elsewhere it is a mark like others."""
-    segments = F.split(line, '"', -1)
-    before = F.slice(segments, 1, F.size(segments) - 1)
+#: What a quote does to the three states (0: outside, a quote may begin or be the second of two;
+#: 1: outside, inside a field; 2: inside quotes), as the states that it leads to, in base 3: after a
+#: quote or a line's start, after a comma, and after anything else.
+_AFTER_QUOTE, _AFTER_COMMA, _ELSEWHERE = 2 + 3 * 1 + 9 * 0, 2 + 3 * 2 + 9 * 0, 1 + 3 * 1 + 9 * 0
+_LEADS = np.array([[f // 3**s % 3 for s in range(3)] for f in range(27)])
+#: One such function after another, and what each does to a line that begins in state 0 or 2.
+_THEN = (_LEADS[None, :, :].repeat(27, 0)[np.arange(27)[:, None, None], np.arange(27)[None, :, None], _LEADS[:, None, :]] * 3 ** np.arange(3)).sum(axis=2)
+_DOES = ((_LEADS[:, 2] == 2) * 2 + (_LEADS[:, 0] == 2)).astype(np.int32)
 
-    def step(state: Column, text: Column) -> Column:
-        # 0: outside, a quote may begin or be the second of two; 1: outside, inside a field; 2: inside quotes
-        opens = text.endswith(",") | ((state == 0) & (text == ""))
-        return F.when(state == 2, F.lit(0)).otherwise(F.when(opens, F.lit(2)).otherwise(F.lit(1)))
 
-    start = F.struct(F.lit(0).alias("out"), F.lit(2).alias("in"))
-    ends = F.aggregate(before, start, lambda s, x: F.struct(step(s["out"], x).alias("out"), step(s["in"], x).alias("in")))
-    two_bits = F.transform(F.array(ends), lambda s: (s["in"] == 2).cast("int") * 2 + (s["out"] == 2).cast("int"))[0]
-    return F.when(F.instr(line, '"') == 0, F.lit(KEEP)).otherwise(two_bits)
+def line_effects(lines: pa.Array) -> np.ndarray:
+    """What each line does to the states, by the mark before each of its quotes: inside quotes
+    a quote ends them, or is the first of two. Outside, it begins them at a field's start (or is
+    the second of two); elsewhere it is a mark like others. Quotes of a line are taken together
+    two by two, all lines at once."""
+    raw = lines.cast(pa.large_binary())
+    offsets, values = (np.frombuffer(x, dtype=t) if x is not None else np.zeros(0, t) for x, t in zip(raw.buffers()[1:], (np.int64, np.uint8)))
+    offsets = offsets[raw.offset : raw.offset + len(raw) + 1]
+    out = np.full(len(raw), KEEP, dtype=np.int32)
+    if not len(raw):
+        return out
+    at = offsets[0] + np.flatnonzero(values[offsets[0] : offsets[-1]] == 0x22)
+    line = np.searchsorted(offsets, at, side="right") - 1
+    before = np.where(at == offsets[line], 0x22, values[at - 1])
+    does = np.where(before == 0x22, _AFTER_QUOTE, np.where(before == 0x2C, _AFTER_COMMA, _ELSEWHERE))
+    while True:
+        first = np.flatnonzero(np.diff(line, prepend=-1))
+        if len(first) == len(line):
+            break
+        nth = np.arange(len(line)) - np.repeat(first, np.diff(np.append(first, len(line))))
+        left = np.flatnonzero(nth % 2 == 0)
+        paired = left[np.append(nth, 0)[left + 1] % 2 == 1]
+        does[paired] = _THEN[does[paired], does[paired + 1]]
+        does, line = does[left], line[left]
+    out[line] = _DOES[does]
+    return out
 
 
 def _states(effects: np.ndarray, begins: int) -> np.ndarray:
@@ -65,7 +85,7 @@ def _states(effects: np.ndarray, begins: int) -> np.ndarray:
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     rows = spark.read.option("lineSep", "\n").text(paths)
     place = F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
-    return rows.select(F.col("value").alias("line"), place.alias("split"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), line_effect(F.col("value")).alias("does"))
+    return rows.select(F.col("value").alias("line"), place.alias("split"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
@@ -89,7 +109,7 @@ def split_effects(lines: DataFrame) -> DataFrame:
                     if now is not None:
                         done.append(now)
                     now = [split, at, file, KEEP, False]
-                effects = batch.column("does").to_numpy()[a:b]
+                effects = line_effects(batch.column("line")[a:b])
                 out, inside = (_states(effects, s) for s in (now[3] & 1, now[3] >> 1))
                 now[3] = int(out[-1]) | int(inside[-1]) << 1
                 now[4] = now[4] or bool((inside[1:] == 0).any())
@@ -98,7 +118,7 @@ def split_effects(lines: DataFrame) -> DataFrame:
         if now is not None:
             yield _batch([now], _SPLIT)
 
-    return lines.select("split", "at", "file", "does").mapInArrow(summed, "split long, at long, file string, does int, ends boolean")
+    return lines.select("line", "split", "at", "file").mapInArrow(summed, "split long, at long, file string, does int, ends boolean")
 
 
 def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
@@ -129,7 +149,8 @@ def records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     told = beginnings(split_effects(lines)).toArrow().sort_by("split")  # a row for each split
     known = spark.sparkContext.broadcast((told["split"].to_numpy(), told["inside"].to_numpy(zero_copy_only=False)))
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        """The whole records, or the pieces of others."""
         splits, inside = known.value
         now = state = at = file = None
         held: list[str] = []  # lines of a record that goes on
@@ -150,37 +171,48 @@ def records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                     now, state, opened, held = split, int(inside[i]), bool(inside[i]), []
                     file, at = (batch.column(c)[a].as_py() for c in ("file", "at"))
                     first = at == 0
-                lines, states = batch.column("line")[a:b], _states(batch.column("does").to_numpy()[a:b], state)
-                whole = (states[:-1] == 0) & (states[1:] == 0)
-                if held:  # goes on from the last batch
-                    whole[0] = False
-                if first and whole[0]:
-                    whole[0], first = False, False  # the header
-                    skip = 1
-                else:
-                    skip = 0
-                alone = pc.filter(lines, pa.array(whole))
-                if len(alone):
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(alone), pa.string()), pa.nulls(len(alone), pa.int64()), pa.nulls(len(alone), pa.bool_()), pa.nulls(len(alone), pa.int32()), alone], schema=_PIECE)
-                for k in np.flatnonzero(~whole)[skip:]:
-                    held.append(lines[int(k)].as_py())
-                    if states[k + 1] == 0:  # it ends here
-                        text = "\n".join(held)
+                lines = batch.column("line")[a:b]
+                states = _states(line_effects(lines), state)
+                state = int(states[-1])
+                ends = np.flatnonzero(states[1:] == 0) + 1  # lines up to the end of each record
+                if len(ends):
+                    if held or opened or first:  # the first that ends here
+                        text = "\n".join(held + lines[: ends[0]].to_pylist())
                         if opened:
                             out.append((file, at, False, END, text))
                         elif first:
                             first = False
-                        else:
-                            out.append((None, None, None, None, text))
-                        held, opened = [], False
-                state = int(states[-1])
-            if out:
+                        elif whole:
+                            yield _whole(pa.array([text], pa.string()))
+                        skip, opened = 1, False
+                    else:
+                        skip = 0
+                    if whole and len(ends) > skip:
+                        yield _whole(_joined(lines, np.append(0, ends)[skip:]))
+                    held = []
+                held += lines[ends[-1] if len(ends) else 0 :].to_pylist()
+            if out and not whole:
                 yield _batch(out, _PIECE)
-        if last := rest():
+        if not whole and (last := rest()):
             yield _batch(last, _PIECE)
 
-    got = lines.select("line", "split", "file", "at", "does").mapInArrow(pieces, "file string, at long, first boolean, piece int, record string")
-    return got.where("piece is null").select("record").union(_glued(got.where("piece is not null"))).select(F.regexp_replace("record", "\r$", "").alias("record")).where("record <> ''")
+    def got(whole: bool) -> DataFrame:
+        return lines.select("line", "split", "file", "at").mapInArrow(lambda batches: pieces(batches, whole), "file string, at long, first boolean, piece int, record string")
+
+    # two passes of little work: one read for both would have to lie on disk
+    return got(True).select("record").union(_glued(got(False))).select(F.regexp_replace("record", "\r$", "").alias("record")).where("record <> ''")
+
+
+def _joined(lines: pa.Array, cuts: np.ndarray) -> pa.Array:
+    """Lines from each cut to the next as one text."""
+    if len(cuts) - 1 == cuts[-1] - cuts[0]:  # a line each
+        return lines[cuts[0] : cuts[-1]]
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), lines), pa.scalar("\n", lines.type))
+
+
+def _whole(records: pa.Array) -> pa.RecordBatch:
+    n = len(records)
+    return pa.RecordBatch.from_arrays([*(pa.nulls(n, f.type) for f in list(_PIECE)[:-1]), records.cast(pa.string())], schema=_PIECE)
 
 
 def _glued(parts: DataFrame) -> DataFrame:
@@ -196,4 +228,4 @@ def read(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> D
     """Rows of text columns. Fields that a short record lacks are null, more are left out."""
     options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
     parsed = F.from_csv("record", schema.simpleString()[len("struct<") : -1].replace(":", " "), options)
-    return records(spark, paths).select(parsed.alias("row")).select("row.*")
+    return records(spark, paths).select(F.inline(F.array(parsed)))  # a row each; filters that are pushed down would parse once for each column

@@ -73,6 +73,47 @@ def test_quoted_csv_in_ranges(spark, tmp_path, size):
             spark.conf.set(k, v)
 
 
+def test_records_are_parsed_once(spark, files):
+    """Filters on typed columns don't each parse the record anew."""
+    typed = sources.typed_rows(sources.table_dispatch(spark, files)["games"])
+    rows = typed.where((sources.F.size("genres") == 2) & sources.F.col("windows") & ~sources.F.col("mac"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_csv(") == 1
+    assert rows.count() == 1
+
+
+def _line_effect(line):
+    def step(state, before):
+        if state == 2:
+            return 0
+        return 2 if before.endswith(",") or (state == 0 and not before) else 1
+
+    out, inside = 0, 2
+    for before in line.split('"')[:-1]:
+        out, inside = step(out, before), step(inside, before)
+    return 2 * (inside == 2) + (out == 2)
+
+
+def test_quotes_of_lines():
+    rng = random.Random(5)
+    lines = ["".join(rng.choice('a,"é') for _ in range(rng.randrange(20))) for _ in range(3000)] + ['"' * 1001, ""]
+    got = quoted.line_effects(quoted.pa.array(lines))
+    assert got.tolist() == [_line_effect(x) for x in lines]
+    assert quoted.line_effects(quoted.pa.array(lines)[100:200]).tolist() == got[100:200].tolist()
+    assert quoted.line_effects(quoted.pa.array([], quoted.pa.string())).tolist() == []
+
+
+def test_records_go_on_in_the_next_batch(spark, tmp_path):
+    want = [(str(i), "n", "x\n" * (i % 9) + '"', "1", "2") for i in range(60)]
+    (tmp_path / "reviews.csv").write_text("a,b,c,d,e\n" + "".join(f'{a},{b},"{c.replace(chr(34), chr(34) * 2)}",{d},{e}\n' for a, b, c, d, e in want))
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        got = [tuple(r) for r in sources.read_reviews(spark, str(tmp_path / "reviews.csv")).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert sorted(got) == sorted(want)
+
+
 def test_quoted_csv_of_little(spark, tmp_path):
     (tmp_path / "reviews.csv").write_text("")
     (tmp_path / "more_reviews.csv").write_text("only,a,header,is,here")
