@@ -3,6 +3,7 @@ where the texts lie, integer log-odds weights, and a sum for each text."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +20,16 @@ CERTAIN = 2944
 BROADCAST = 1 << 20
 #: Copies of the weights in that shuffle, so that a common trigram is spread over as many tasks.
 SALTS = 64
-#: Characters counted at a time.
-RUN = 1 << 20
+#: Characters counted at a time; a task holds some 30 bytes for each, beside a batch as it came.
+RUN = 1 << 18
 
 
 def _runs(texts: pa.Array) -> Iterator[tuple[str, list[int], list[int]]]:
     """Texts in a row as one string of about ``RUN`` characters, with the indices of the texts
     and where each begins. A long text comes in parts that share two characters."""
     size, part, index, start = 0, [], [], []
-    for i, text in enumerate(texts.to_pylist()):
-        text = text or ""
+    for i, text in enumerate(texts):  # one text as a Python string at a time, not a batch of them
+        text = text.as_py() or ""
         for at in range(0, max(len(text) - 2, 1), RUN):
             piece = text[at : at + RUN + 2]
             part.append(piece)
@@ -42,6 +43,15 @@ def _runs(texts: pa.Array) -> Iterator[tuple[str, list[int], list[int]]]:
         yield "".join(part), index, start
 
 
+def _give_back() -> None:
+    """Gives memory that a batch has freed back to the system: workers serve one task after
+    another, and what each held at its peak would add up in an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def _count(run: str, index: list[int], start: list[int]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """For each text and trigram: the text's index, the trigram, and how often it is there."""
     code = np.frombuffer(run.encode("utf-32-le"), dtype=np.uint32)
@@ -51,7 +61,9 @@ def _count(run: str, index: list[int], start: list[int]) -> tuple[np.ndarray, pa
     bits = max(len(letters) - 1, 1).bit_length()  # 21 at most
     c = dense[code]
     owner = np.repeat(np.arange(len(start)), np.diff([*start, len(code)]))
-    gram, owner = (c[:-2] << 2 * bits | c[1:-1] << bits | c[2:])[owner[:-2] == owner[2:]], owner[2:][owner[:-2] == owner[2:]]
+    inside = owner[:-2] == owner[2:]
+    gram, owner = (c[:-2] << 2 * bits | c[1:-1] << bits | c[2:])[inside], owner[2:][inside]
+    del c, code, inside
     known, width = None, 3 * bits
     if width + len(start).bit_length() > 62:  # too many letters to sort texts and trigrams as one number
         known, gram = np.unique(gram, return_inverse=True)
@@ -80,6 +92,7 @@ def lang_ngrams(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), tri, pa.array(n, pa.int64())], ["key", "tri", "n"])
             left = np.flatnonzero(bare)
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(left)), pa.nulls(len(left), pa.string()), pa.array(np.zeros(len(left), np.int64))], ["key", "tri", "n"])
+            _give_back()
 
     schema = StructType().add("key", lower.schema["key"].dataType).add("tri", StringType()).add("n", LongType())
     return lower.mapInArrow(count, schema).withColumnRenamed("key", key)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import pyarrow as pa
@@ -111,6 +112,19 @@ def test_trigram_counts(monkeypatch):
         assert got == want
 
 
+def test_trigram_counts_hold_little():
+    """What is held beside a batch doesn't grow with it."""
+    texts = pa.array([f"a text with number {i} " * 100 for i in range(2000)])
+    tracemalloc.start()
+    try:
+        n = sum(int(language._count(*part)[2].sum()) for part in language._runs(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == sum(len(t.as_py()) - 2 for t in texts)
+    assert peak < 32 << 20
+
+
 def test_reconcile(spark):
     a = spark.createDataFrame([("x", 1), ("x", 1), ("y", 2)], "name string, n int")
     b = spark.createDataFrame([("y\r", 2), (" x", 1), ("z", 3)], "name string, n int")
