@@ -590,10 +590,11 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _in_batches(rows: DataFrame, batches: int = 4) -> DataFrame:
-    """The rows as a stream of so many batches."""
+    """The rows as a stream of so many batches, each of as many files as the rows have splits for."""
     path = new_path(rows.sparkSession, "batches")
-    rows.repartition(batches).write.parquet(path)
-    return streaming.stream_ingest(rows.sparkSession, path, rows.schema, files=1)
+    files = -(-rows.rdd.getNumPartitions() // batches)
+    rows.repartition(batches * files).write.parquet(path)
+    return streaming.stream_ingest(rows.sparkSession, path, rows.schema, files=files)
 
 
 @query(_Q3)

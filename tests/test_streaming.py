@@ -207,6 +207,20 @@ def test_large_job_is_kept_by_many_tasks(spark, tmp_path, monkeypatch):
     assert files["10"] > 1 and files["0"] > 1 and files["11"] == 1
 
 
+def test_batches_are_read_by_many_tasks(spark, tmp_path):
+    """Rows of many splits come in four batches, each of several files."""
+    from ludoscope.queries import _in_batches
+
+    told, rows = [], []
+
+    def each(batch, _):
+        told.append(batch.select(F.input_file_name()).distinct().count())
+        rows.extend(r.id for r in batch.collect())
+
+    streaming.until_inputs_end(_in_batches(spark.range(900, numPartitions=9)), each, str(tmp_path / "c"))
+    assert told == [3] * 4 and sorted(rows) == list(range(900))
+
+
 def test_output_goes_on_after_a_row(spark, tmp_path):
     """Stopped after row 37 of a batch of 50, the sink gives the rest once."""
     src, taken = str(tmp_path / "src"), []
