@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_characters
-from .common import in_pieces, written
+from .common import give_back, in_pieces, written
 
 #: Chunks remembered by each Python worker (some 200 bytes each) before they count as old;
 #: old ones that aren't met again until as many new ones are known are forgotten.
@@ -179,6 +179,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id
                 which, n, start, length, crc = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(n, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], [id_col, "piece", "start", "length", "ids_crc32"])
         chunks.known, chunks.old = {}, {}  # other tasks of this worker need the memory
+        gc.enable()  # and make cycles
+        give_back()
 
     return rows.mapInArrow(run, schema)
 

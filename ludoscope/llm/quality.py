@@ -11,7 +11,7 @@ lies, so no text is shuffled.
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ BUCKETS = 1 << 18
 #: Labelled rows that the model is trained on at most, chosen by the hash of their id.
 SAMPLE = 16_384
 EPOCHS = 6
+#: Bytes of text whose n-grams are made at a time, some 60 bytes of memory for each.
+AT_ONCE = 250_000
 
 
 def shapes(w: Words) -> np.ndarray:
@@ -51,7 +53,7 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
     at = 0
     while at < len(parts):
         size, a = 0, at
-        while at < len(parts) and (size == 0 or size + len(parts[at]) <= 2 * RUN):
+        while at < len(parts) and (size == 0 or size + len(parts[at]) <= AT_ONCE):
             size += len(parts[at])
             at += 1
         w = words(parts[a:at])
@@ -76,7 +78,7 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         yield text, bucket, np.bincount(own[w.text[new]] if len(w.text) else np.zeros(0, np.int64), minlength=len(texts))
 
 
-def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS, epochs: int = EPOCHS, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.001, l2: float = 0.01) -> np.ndarray:
+def ftrl(examples: Iterable[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS, epochs: int = EPOCHS, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.001, l2: float = 0.01) -> np.ndarray:
     """Weights (the last one the intercept) by follow-the-regularised-leader updates with a
     rate for each weight, over (buckets, values, label) in the order given, ``epochs`` times."""
     z, n = np.zeros(buckets + 1), np.zeros(buckets + 1)
@@ -106,6 +108,43 @@ def sparse(text: np.ndarray, bucket: np.ndarray, n_words: int) -> tuple[np.ndarr
     return at, SCALE * count / max(n_words, 1)
 
 
+def shortened(at: np.ndarray, count: np.ndarray) -> bytes:
+    """Ascending buckets and how often each is met, as three bytes for each but the rarest: the
+    low 16 bits of buckets, and counts up to 255. How many buckets each value of the high bits
+    has, and counts beyond, lead as numbers of four bytes."""
+    high = np.bincount(at >> 16, minlength=BUCKETS >> 16)
+    often = np.flatnonzero(count > 255)
+    head = np.concatenate([high, [len(often)], often, count[often]]).astype("<u4")
+    return head.tobytes() + (at & 0xFFFF).astype("<u2").tobytes() + np.minimum(count, 255).astype(np.uint8).tobytes()
+
+
+def lengthened(raw: memoryview) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`shortened` was given."""
+    n_high = BUCKETS >> 16
+    head = np.frombuffer(raw, "<u4", n_high + 1)
+    n, n_often = int(head[:n_high].sum()), int(head[n_high])
+    by = 4 * (n_high + 1)
+    often, more = np.frombuffer(raw, "<u4", 2 * n_often, by).reshape(2, -1)
+    by += 8 * n_often
+    at = np.frombuffer(raw, "<u2", n, by) + np.repeat(np.arange(n_high) << 16, head[:n_high])
+    count = np.frombuffer(raw, np.uint8, n, by + 2 * n).astype(np.int64)
+    count[often] = more
+    return at, count
+
+
+class Examples:
+    """The sample as it came, three bytes for each n-gram; each text's values are put together
+    when it is gone through, so that only one text's are there."""
+
+    def __init__(self, batches: Iterable[pa.RecordBatch]):
+        self.rows = [(x.as_buffer(), n.as_py(), y.as_py()) for b in batches for x, n, y in zip(b.column(0), b.column(1), b.column(2), strict=True)]
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        for raw, n_words, y in self.rows:
+            at, count = lengthened(raw)
+            yield at, (SCALE * count / max(n_words, 1)).astype(np.float32), y
+
+
 def picked(labels: DataFrame, label: str, held_out: tuple[int, int], most: int, id_col: str = "doc_id") -> DataFrame:
     """``doc_id, y int, h long``: at most ``most`` labelled ids outside the held-out part, those
     of smallest hash. An id labelled more than once counts once, with its larger label."""
@@ -123,13 +162,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out:
         for batch in batches:
             for k in range(batch.num_rows):
                 got = list(features([batch.column(0)[k].as_py()]))
-                at, x = sparse(None, np.concatenate([b for _, b, _ in got]), int(sum(n.sum() for *_, n in got)))
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), batch.column(1).slice(k, 1), batch.column(2).slice(k, 1)], ["x", "at", "y", "h"])
+                at, count = np.unique(np.concatenate([b for _, b, _ in got]), return_counts=True)
+                n_words = int(sum(n.sum() for *_, n in got))
+                yield pa.RecordBatch.from_arrays([pa.array([shortened(at, count)], pa.binary()), pa.array([n_words], pa.int64()), batch.column(1).slice(k, 1), batch.column(2).slice(k, 1)], ["x", "n", "y", "h"])
+        give_back()
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # views of what came: eight bytes for each weight of a text
-        examples = [(np.frombuffer(at.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32), y.as_py()) for b in batches for x, at, y in zip(b.column(0), b.column(1), b.column(2), strict=True)]
-        if examples:
+        examples = Examples(batches)
+        if examples.rows:
             out = io.BytesIO()
             np.savez(out, w=ftrl(examples))
             del examples
@@ -137,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out:
             yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
 
     # one task trains, on `most` rows; each has a number for each of its buckets, of which there are BUCKETS
-    fitted = rows.mapInArrow(counted, "x binary, at binary, y int, h long").repartition(1).sortWithinPartitions("h", "at", "y").mapInArrow(fit, "model binary").collect()
+    fitted = rows.mapInArrow(counted, "x binary, n long, y int, h long").repartition(1).sortWithinPartitions("h", "x", "y").mapInArrow(fit, "model binary").collect()
     return np.load(io.BytesIO(fitted[0]["model"]))["w"] if fitted else np.zeros(BUCKETS + 1, np.float32)
 
 

@@ -306,3 +306,14 @@ def test_large_buckets_in_parts(spark):
     for most in (4096, 20):
         got = {x.node: x.component for x in graph.components(graph.bucket_links(df, ["key"], "rep", counts, linked, most)).collect()}
         assert got == {i: i % 3 for i in range(3, 500)}
+
+
+def test_examples_take_three_bytes_an_ngram():
+    rng = np.random.default_rng(0)
+    for n, most in ((0, 1), (1, 1), (900, 3), (5000, 100_000)):
+        at = np.sort(rng.choice(quality.BUCKETS, n, replace=False))
+        count = rng.integers(1, most + 1, n)
+        raw = quality.shortened(at, count)
+        got = quality.lengthened(memoryview(raw))
+        assert np.array_equal(got[0], at) and np.array_equal(got[1], count)
+        assert most > 255 or len(raw) == 3 * n + 20
