@@ -451,3 +451,46 @@ def test_merging_by_ranks_is_merging_by_pairs():
             assert (parts[best], parts[best + 1]) in order
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         assert parts == [whole]
+
+
+def test_crowds_of_a_task_move_once(spark):
+    from ludoscope.llm.graph import in_parts
+
+    rows = spark.range(5 * lines.TOGETHER // 2).selectExpr("if(id < 2000, 1, 2) AS key", "id AS line")
+    counts = rows.groupBy("key").agg(F.count("*").alias("__count"))
+    got = in_parts(rows, ["key"], "line", counts, most=lines.TOGETHER).groupBy("key").agg(F.count("*").alias("n")).collect()
+    assert {r["key"]: r["n"] for r in got} == {1: 2000, 2: (5 * lines.TOGETHER // 2 - 2000) * -(-(5 * lines.TOGETHER // 2 - 2000) // (lines.TOGETHER // 2))}
+
+
+def test_edit_distances_side_by_side():
+    rng = random.Random(5)
+    for alphabet in ("ab", "abcdefgh ", "".join(map(chr, range(0x4E00, 0x4F90)))):
+        for size in (3, 64, 65, 300, 700):
+            pairs, most = [], []
+            for _ in range(40):
+                a = [rng.choice(alphabet) for _ in range(size)]
+                b = a[size // 8 :] + a[: size // 8] if rng.random() < 0.2 else list(a)
+                for _ in range(rng.randrange(size // 3 + 1)):
+                    k = rng.randrange(len(b))
+                    b[k : k + 1] = [rng.choice(alphabet)] * rng.randrange(3)
+                    b = b or ["a"]
+                x, y = sorted(("".join(a), "".join(b)), key=len, reverse=True)
+                pairs.append((x, y))
+                most.append(max(0, lines.edit_distance(x, y, 10**6) - rng.randrange(2)))
+            got = lines._myers(*map(list, zip(*pairs)), np.array(most))
+            assert got.tolist() == [lines.edit_distance(x, y, m) <= m for (x, y), m in zip(pairs, most)]
+
+
+def test_workers_collect_cycles_after_packing(spark):
+    import gc
+
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(i, "a few words") for i in range(8)], "doc_id long, text string").repartition(8)
+    packing.pieces(docs, P.path("word_bpe_49k.json")).collect()
+
+    def told(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([gc.isenabled()] * b.num_rows)], ["on"])
+
+    assert all(r["on"] for r in spark.range(0, 8, 1, 8).mapInArrow(told, "on boolean").collect())
