@@ -414,3 +414,46 @@ def test_near_dedup_keeps_clashing_columns(spark):
     got = shingles.without_later(df, k=11, bits=128)
     assert got.columns == df.columns
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(*r, 1, 2, 3) for r in rows if r[0] != 2], key=repr)
+
+
+def _known(spark, rows):
+    """Lines as (line, w0, w1, size, the number of all their tables) as a table of classes."""
+    schema = f"line long, first long, last long, {', '.join(f'{w} long' for w in lines.WORDS)}, size int"
+    return spark.createDataFrame([(line, line, line, w0, w1, *(line if t is None else t for _ in lines.WORDS[2:]), size) for line, w0, w1, size, t in rows], schema)
+
+
+def test_chance_meetings_of_keys_are_no_rows(spark):
+    """Two lines of a key whose SimHashes or lengths rule them out give nothing; others a pair,
+    once; keys of more lines than a few give their lines."""
+    rows = [(1, 0, 0, 100, 7), (2, -1, -1, 100, 7)]  # all bits differ
+    rows += [(11, 5, 5, 100, 8), (12, 5, 5, 126, 8)]  # over a fifth longer
+    rows += [(21, 9, 9, 100, 9), (22, 9, 8, 110, 9), (23, 8, 9, 105, 9)]
+    rows += [(31, 0, 0, 40, 10), (32, -1, -1, 40, 10)]  # short lines are not told by SimHashes
+    known = _known(spark, rows)
+    got = lines.met_keys(known, slice(5, 6), len(rows), 16).collect()
+    assert sorted((r["a"], r["b"]) for r in got if r["b"] is not None) == [(21, 22), (21, 23), (22, 23), (31, 32)]
+    assert not [r for r in got if r["b"] is None]
+    many = _known(spark, [(k, 3, 3, 100, 7) for k in range(100, 120)])
+    for df in (many.coalesce(1), many.repartition(20)):
+        got = lines.met_keys(df, slice(5, 6), 20, 16).collect()
+        assert sorted((r["a"], r["b"]) for r in got) == [(k, None) for k in range(100, 120)] and len({r["key"] for r in got}) == 1
+
+
+def test_a_crowd_of_copies_is_compared_about_once_a_line(monkeypatch):
+    rng = random.Random(9)
+    base = [rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(20)]
+    said = [" ".join([*base[:k], f"x{i}", *base[k + 1 :]]) for i in range(300) for k in [rng.randrange(20)]]
+    calls = []
+    plain = lines.word_edits
+    monkeypatch.setattr(lines, "word_edits", lambda *a: calls.append(1) or plain(*a))
+    ids = np.arange(len(said))
+    got = np.concatenate(list(lines.crowd_links(iter([(ids, said, np.zeros((len(said), 2), np.uint64), ids)]))))
+    assert len(set(got.ravel().tolist())) == len(said) and len(calls) < 2 * len(said)
+
+
+def test_places_of_lost_lines(spark):
+    """Similar and repeated lines of one text, and texts of one id."""
+    one, two = "a line of some ten words that is said here again", "a line of some ten words that was said here again"
+    rows = [(1, f"{one}\n{two}\n{two}\n\nx y\nx y"), (2, f"{two}\n{one}\nsomething else entirely, no more"), (3, "p q r\nown"), (3, "own\np q r\np q r"), (None, "p q r\nlast one"), (4, None), (5, "\n\n")]
+    got = {(r.doc_id, r.n_lines, r.n_removed, r.text) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 6, 3, f"{one}\n\nx y"), (2, 3, 2, "something else entirely, no more"), (3, 2, 0, "p q r\nown"), (3, 3, 1, "own\np q r"), (None, 2, 1, "last one"), (4, 1, 0, ""), (5, 3, 0, "\n\n")}
