@@ -29,6 +29,8 @@ QUERIES, CANDIDATES, AT_ONCE = 8192, 4096, 1024
 #: more entries reach: of random vectors, 2,000 candidates and k = 20, two lists give a sixth
 #: of all entries in phase 2, four a half.
 LISTS = 2
+#: Blocks of candidates that one copy of a block of queries meets, where there are MANY of them.
+RUN, MANY = 16, 48
 
 
 def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
@@ -36,7 +38,8 @@ def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
     for queries) of each block of about ``size`` in one binary row for each block, with as
     many bytes for a component as the block's largest needs."""
     n = rows.groupBy(F.size("v").alias("dim")).count()
-    cut = rows.withColumn("dim", F.size("v")).join(n, "dim").withColumn(name, F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / size)).cast("int"))
+    # a row for each length of vectors; by a shuffle, all vectors of a length would go to one task
+    cut = rows.withColumn("dim", F.size("v")).join(F.broadcast(n), "dim").withColumn(name, F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / size)).cast("int"))
     extra = ["cutoff"] if "cutoff" in rows.columns else []
 
     def pack(own: pd.DataFrame) -> pd.DataFrame:
@@ -50,13 +53,25 @@ def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
     return cut.select("dim", name, "id", "v", *extra).groupBy("dim", name).applyInPandas(pack, schema)
 
 
-def meet(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Every block of queries beside every block of candidates of the same dimension."""
+def n_pairs(queries: DataFrame, candidates: DataFrame, size: int) -> int:
+    """Pairs of blocks, about: ``queries`` as rows that go to blocks of ``size``, ``candidates`` as blocks."""
+    nq = queries.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count("*") / size).alias("nq"))
+    both = nq.join(F.broadcast(candidates.groupBy("dim").agg(F.count("*").alias("nc"))), "dim")
+    return both.agg(F.sum(F.col("nq") * F.col("nc"))).first()[0] or 0
+
+
+def meet(queries: DataFrame, candidates: DataFrame, pairs: int) -> DataFrame:
+    """Every block of queries beside every block of candidates of the same dimension, ``pairs``
+    about. Only numbers of blocks are broadcast. Blocks never are, whatever Spark takes them to
+    need, since what meets grows with the square of the table; a task gets a few runs of blocks."""
+    run = max(1, min(RUN, pairs // MANY))
+    candidates = candidates.withColumn("run", F.floor(F.col("c") / run).cast("int"))
     nq = queries.groupBy("dim").agg(F.collect_set("q").alias("qs"))
-    nc = candidates.groupBy("dim").agg(F.collect_set("c").alias("cs"))
-    left = queries.join(nc, "dim").withColumn("c", F.explode("cs")).drop("cs")
-    right = candidates.join(nq, "dim").withColumn("q", F.explode("qs")).drop("qs")
-    return left.join(right, ["dim", "q", "c"])
+    nc = candidates.groupBy("dim").agg(F.collect_set("run").alias("runs"))
+    tasks, key = -(-pairs // run) or 1, ["dim", "q", "run"]
+    left = queries.join(F.broadcast(nc), "dim").withColumn("run", F.explode("runs")).drop("runs").repartition(tasks, *key)
+    right = candidates.join(F.broadcast(nq), "dim").withColumn("q", F.explode("qs")).drop("qs").repartition(tasks, *key)
+    return left.join(right.hint("merge"), key).drop("run")
 
 
 def _vectors(row: dict, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -151,6 +166,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, lists: int = LISTS, qu
 
     candidates = written(blocks(once(vectors), candidate_block, "c"), "candidates")
     asked = written(once(queries), "queries")
+    pairs = n_pairs(asked, candidates, query_block)
     schema = "query_id long, vec_id long, score long"
 
     def each(f):
@@ -161,11 +177,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, lists: int = LISTS, qu
 
         return run
 
-    firsts = meet(blocks(asked, query_block, "q"), candidates).mapInPandas(each(local_best), schema)
+    firsts = meet(blocks(asked, query_block, "q"), candidates, pairs).mapInPandas(each(local_best), schema)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     cutoffs = firsts.withColumn("n", F.row_number().over(by)).where(F.col("n") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cutoff"))
     with_cutoff = asked.join(cutoffs, "id", "left").fillna({"cutoff": -(2**63)})
-    found = meet(blocks(with_cutoff, query_block, "q"), candidates).mapInPandas(each(sufficient), schema)
+    found = meet(blocks(with_cutoff, query_block, "q"), candidates, pairs).mapInPandas(each(sufficient), schema)
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -243,6 +243,23 @@ def test_top_k(spark, k, q, c):
     assert topk.top_k(fine.limit(0), fine.limit(0), k).count() == 0
 
 
+def test_blocks_are_never_broadcast_nor_made_by_one_task(spark):
+    """However small Spark takes blocks to be: the copies that meet grow with the square."""
+    rows = spark.range(600).select("id", F.array(F.col("id") % 7, F.col("id") % 5).alias("v")).localCheckpoint()
+    asked = rows.where("id % 20 = 0")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = topk.blocks(rows, 8, "c")
+        assert made.select(F.spark_partition_id()).distinct().count() > 1
+        queries = topk.blocks(asked, 8, "q")
+        met = topk.meet(queries, made, topk.n_pairs(asked, made, 8))
+        assert len({(r.q, r.c) for r in met.collect()}) == met.count() == queries.count() * made.count()
+        plan = met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "SortMergeJoin" in plan and met.select(F.spark_partition_id()).distinct().count() > 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("high", [3, 40, 70_000, 2**33, 2**40])
 def test_top_k_phases_look_up_few(high):
     """The cutoff leaves out most entries, and none of the best; components of any size."""
