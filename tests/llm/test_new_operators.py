@@ -457,3 +457,45 @@ def test_places_of_lost_lines(spark):
     rows = [(1, f"{one}\n{two}\n{two}\n\nx y\nx y"), (2, f"{two}\n{one}\nsomething else entirely, no more"), (3, "p q r\nown"), (3, "own\np q r\np q r"), (None, "p q r\nlast one"), (4, None), (5, "\n\n")]
     got = {(r.doc_id, r.n_lines, r.n_removed, r.text) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, 6, 3, f"{one}\n\nx y"), (2, 3, 2, "something else entirely, no more"), (3, 2, 0, "p q r\nown"), (3, 3, 1, "own\np q r"), (None, 2, 1, "last one"), (4, 1, 0, ""), (5, 3, 0, "\n\n")}
+
+
+def test_crowds_share_what_is_known(monkeypatch):
+    """Crowds of a task that have pairs in common compare each once, linked or not; pairs that wait, too."""
+    rng = random.Random(11)
+    words = ["alpha", "beta", "gamma", "delta", "eps"]
+    base = [rng.choice(words) for _ in range(20)]
+    said = [" ".join([*base[:k], f"x{i}", *base[k + 1 :]]) for i in range(40) for k in [rng.randrange(20)]]
+    halves = rng.sample(words * 6, 30), rng.sample(words * 6, 30)
+    said += [" ".join(rng.sample(halves[k % 2], 30)) for k in range(40)]  # of like letters, but apart
+    ids, hashes = np.arange(len(said)), np.zeros((len(said), 2), np.uint64)
+    seen = []
+    exactly = lines.exactly_close
+    monkeypatch.setattr(lines, "exactly_close", lambda xs, ys, most: seen.extend(map(frozenset, zip(xs, ys))) or exactly(xs, ys, most))
+    got = np.concatenate(list(lines.crowd_links((ids[k:], said[k:], hashes[k:], ids[k:]) for k in range(6))))
+    assert len({*got.ravel().tolist()} & set(range(40))) == 40 and len(got) < 80
+    assert len(seen) > 100 and len(seen) == len(set(seen))
+
+
+@pytest.mark.parametrize("sizes", [(20, 60), (70, 90), (60, 400)])
+def test_crowd_pairs_leave_what_the_bounds_leave(sizes):
+    """Products of matrices rule out no pair that lengths, SimHashes and counted runs, pair by pair, leave."""
+    rng = random.Random(sum(sizes))
+    base = "".join(rng.choice("abcdefghij ") for _ in range(max(sizes)))
+    said = []
+    for _ in range(70):
+        x = list(base[: rng.randrange(*sizes)])
+        for _ in range(rng.randrange(len(x) // 3)):
+            x[rng.randrange(len(x))] = rng.choice("abcdefghij klmnop")
+        said.append("".join(x))
+    hashes = np.array([[rng.getrandbits(64) & rng.getrandbits(64) for _ in range(2)] for _ in said], dtype=np.uint64)
+    group = np.array([k // 2 for k in range(70)])
+    got = [(i, j, m) for x in lines.crowd_pairs(said, hashes, group) for i, j, m in zip(*(c.tolist() for c in x))]
+    want = []
+    with np.errstate(over="ignore"):
+        for i, j in itertools.combinations(range(70), 2):
+            longer = max(len(said[i]), len(said[j]))
+            fine = group[i] != group[j] and 5 * abs(len(said[i]) - len(said[j])) <= longer
+            fine = fine and (longer < lines.LONG or int(np.bitwise_count(hashes[i] ^ hashes[j]).sum()) <= lines.PLAUSIBLE)
+            if fine and all(lines._apart([said[i]], [said[j]], q, n)[0] <= 2 * q * (longer // 5) for q, n in ((2, lines.TWOS), (3, lines.THREES))):
+                want.append((i, j, longer // 5))
+    assert sorted(got) == want and len(want) > 10
