@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ludoscope.llm import lines, packing, quality, shingles, substrings
-from ludoscope.llm.common import table, written
+from ludoscope.llm.common import small_batches, table, written
 
 #: Bits of the near-dedup stage's fingerprints, over the distinct words of a text, and in how
 #: many two texts may differ to be compared. MinHash keys find those that differ in more.
@@ -28,6 +28,7 @@ def _as_documents(rows: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as good (a score of at least 0.3). Rows
     are scored and kept or dropped where they lie. A null text counts as an empty one."""
+    small_batches(spark)  # for all stages
     weights = quality.train(docs, table(spark, sf_dir, "labels"), "quality", held_out=(5, 0))
     scored = quality.score(docs, weights, keep=("text", "lang", "source", "n_chars"), least=0.3)
     return scored.select("doc_id", "text", "lang", "source", "n_chars")

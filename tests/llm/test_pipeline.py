@@ -87,3 +87,26 @@ def test_near_copies_are_those_of_brute_force(spark, few):
     assert got == label
     kept = corpus_pipeline.near_dedup_stage(spark, docs.selectExpr("*", "'en' as lang", "'s' as source", "1L as n_chars"), "").collect()
     assert sorted(x.doc_id for x in kept) == sorted(set(label))
+
+
+def test_texts_go_to_workers_a_few_megabytes_at_a_time(spark):
+    """Not 10,000 at a time, however long they are; a limit of the session's own stays."""
+    from ludoscope.llm.common import BATCH, small_batches
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(400).selectExpr("repeat('some text ', 5000) AS text").coalesce(1)
+    try:
+        small_batches(spark)
+        got = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) == 400 and max(got) * 50_000 < 2 * BATCH
+        spark.conf.set(name, "32m")
+        small_batches(spark)
+        assert spark.conf.get(name) in ("32m", str(32 << 20), f"{32 << 20}b")
+    finally:
+        spark.conf.unset(name)
